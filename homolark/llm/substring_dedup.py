@@ -130,14 +130,15 @@ def _windows(window: int, anchor: int):
         hit = member(low[at], np.unique(right["h"].to_numpy().view(U)))
         at, h = at[hit], h[hit]
         first, where, n = np.unique(h, return_index=True, return_counts=True)
-        p = at[where]
+        order = np.argsort(where)  # in text order, neighbours differ little and pack well
+        first, n, p = first[order], n[order], at[where[order]]
         return pa.table({"h": signed(first), "b": np.full(len(p), left["b"][0].as_py(), np.int32), "doc": block.ids[block.row[p]], "pos": block.pos[p], "multi": n > 1})
 
     return run
 
 
 def _earliest(batches):
-    """For each window hash found in several places: to every block, whether the first one is its own, and that one's place."""
+    """For each window hash found in several places: to every block with a later one, whether the first is its own, and that one's place."""
     table = gathered(batches)
     if table is None:
         return
@@ -151,6 +152,11 @@ def _earliest(batches):
     size = np.diff(np.append(np.flatnonzero(new), len(s)))
     many = (np.repeat(size, size) > 1) | multi[order]
     at, src = order[many], order[head[many]]
+    here = b[at] == b[src]
+    later = multi[at] | ~here  # a block that holds only the first has nothing to remove
+    at, src = at[later], src[later]
+    pack = np.lexsort((pos[src], doc[src], b[at]))
+    at, src = at[pack], src[pack]
     yield from as_batches(pa.table({"b": b[at], "h": h[at], "here": b[at] == b[src], "doc": doc[src], "pos": pos[src]}))
 
 
