@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash_dedup, substring_dedup
+from . import line_dedup, packing, simhash_dedup, substring_dedup, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.op1_token_store,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
