@@ -59,10 +59,10 @@ def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS) -> tuple[np.ndar
         table, rank = np.zeros(1 << 16, key_t), np.full(1 << 16, none)
         back = slot(pairs)[::-1]
         table[back], rank[back] = pairs[::-1], np.arange(len(pairs), dtype=np.uint16)[::-1]  # the most frequent wins a slot
-        where = slot(key)
+        where = slot(key).astype(np.intp)
         r = np.full(len(key) + 2, none)
-        r[1:-1] = np.where(table[where] == key, rank[where], none)
-        hit = np.flatnonzero((r[1:-1] < r[:-2]) & (r[1:-1] <= r[2:]))
+        np.copyto(r[1:-1], rank.take(where), where=table.take(where) == key)
+        hit = np.flatnonzero((r[1:-1] < r[:-2]) & (r[1:-1] <= r[2:]))  # where rules overlap, the more frequent one
         got = r[1:-1][hit]
         uses = np.bincount(got, minlength=len(pairs))
         ok = uses >= 3
@@ -106,17 +106,13 @@ class Stored:
 
     def __init__(self, vocab: int, width: int, rules: bytes, lengths: bytes, symbols: bytes):
         kind = f"<u{width}"
-        self.vocab, self.symbols = vocab, np.frombuffer(symbols, kind).astype(np.int64)
+        self.vocab, self.symbols = vocab, np.frombuffer(symbols, kind).astype(np.int32)
         self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
         self.flat, self.start = expansions(np.frombuffer(rules, kind).astype(np.int64).reshape(-1, 2), self.lengths, vocab)
-        self.table = np.concatenate([np.arange(vocab), self.flat])
-        self.ends = np.cumsum(self._size(self.symbols))
-
-    def _size(self, x: np.ndarray) -> np.ndarray:
-        size = np.ones(len(x), np.int64)
-        far = x >= self.vocab
-        size[far] = self.lengths[x[far] - self.vocab]
-        return size
+        self.table = np.concatenate([np.arange(vocab), self.flat]).astype("<u4")
+        self.sizes = np.concatenate([np.ones(vocab, np.int32), self.lengths.astype(np.int32)])
+        self.places = np.concatenate([np.arange(vocab, dtype=np.int32), (vocab + self.start[:-1]).astype(np.int32)])
+        self.ends = np.cumsum(self.sizes.take(self.symbols))
 
     def ids(self, a: int = 0, b: int | None = None) -> np.ndarray:
         total = int(self.ends[-1]) if len(self.ends) else 0
@@ -125,14 +121,11 @@ class Stored:
             return np.zeros(0, "<u4")
         i, j = np.searchsorted(self.ends, a, "right"), np.searchsorted(self.ends, b, "left") + 1
         x = self.symbols[i:j]
-        size = self._size(x)
-        ends = np.cumsum(size)
-        src = x.copy()
-        far = x >= self.vocab
-        src[far] = self.vocab + self.start[x[far] - self.vocab]
-        out = self.table[np.repeat(src - ends + size, size) + np.arange(ends[-1])]
+        size = self.sizes.take(x)
+        ends = np.cumsum(size, dtype=np.int32)
+        out = self.table.take(np.repeat(self.places.take(x) - ends + size, size) + np.arange(ends[-1], dtype=np.int32))
         skip = a - (int(self.ends[i]) - int(size[0]))
-        return out[skip : skip + b - a].astype("<u4")
+        return out[skip : skip + b - a]
 
 
 def _write(path: str, vocab: int, end: int):

@@ -133,7 +133,7 @@ class Encoder:
         size, start = self.size[p], self.start[p]
         total = np.concatenate([[0], np.cumsum(size)])
         doc = total[first]  # of each text in what its pieces give
-        ids = self.flat[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+        ids = self.flat.take(np.repeat((start - total[:-1]).astype(np.int32), size) + np.arange(total[-1], dtype=np.int32))
         if not len(odd):
             out = np.full(len(ids) + n, end, np.int32)
             keep = np.ones(len(out), bool)
