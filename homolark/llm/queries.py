@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, simhash_dedup, substring_dedup, token_store
+from . import decontamination, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
