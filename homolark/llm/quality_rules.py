@@ -122,7 +122,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """Kept rows of docs, without their lines above the limit."""
-    rated = _with_removed(features(docs.select("*"))).where(verdict())
+    # a filter does not move below a non-deterministic column: below, it would write out the features' lambdas again and again
+    fenced = features(docs).withColumn("__row", F.monotonically_increasing_id())
+    rated = _with_removed(fenced).where(verdict() & (F.col("__row") >= 0))
     gone = F.col("removed_lines")
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     return rated.withColumn("text", F.when(gone.isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
