@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup, token_store
+from . import decontamination, license_scan, line_dedup, packing, ppm_scoring, quality_rules, simhash_dedup, substring_dedup, token_store, url_filter
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op5_ppm_scoring": ppm_scoring.op5_ppm_scoring,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
