@@ -153,7 +153,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     n = n_buckets(docs)
     edges = distinct.select("fp").repartition(n, "fp").mapInArrow(_variants, "key long, fp long, center boolean").repartition(n, "key").mapInArrow(_links(RADIUS), "a long, b long")
     nodes = distinct.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = nodes.select("fp", F.min("low").over(Window.partitionBy("root")).alias("component_id"))
+    named = nodes.join(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
