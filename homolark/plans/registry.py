@@ -1,6 +1,218 @@
-"""Registered queries of the engine's own operators, each with its DuckDB SQL where SQL can express it."""
+"""Registered queries of the engine's own operators, each with its DuckDB SQL where SQL can express it.
+
+Sequences come from whole tables: residues are the letters of a text, upper-cased. Alignment queries use the `benchmark` table,
+whose texts are of protein length; `documents` serves the queries without a kernel. Clusterings for the set queries are lists
+that plain grouping makes, so that both sides can build them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.matrices import Params, blosum62
+from ..operators import clustering as C
+from ..operators import evaluation as V
+from ..operators.merging import schedule
+from ..sources.genomes import match_row, numbered
+
+PARAMS = Params(min_score=181, min_full_merge_score=250.0)  # prose is of low complexity for a protein matrix
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sequences(spark, sf_dir) -> DataFrame:
+    """documents as genomes by source."""
+    d = table(spark, sf_dir, "documents")
+    seq = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^A-Z]", "")
+    own = d.select("doc_id", F.col("source").alias("genome"), seq.alias("seq")).where("length(seq) >= 30")
+    index = F.row_number().over(Window.partitionBy("genome").orderBy("doc_id")) - 1
+    return numbered(own.withColumn("genome_index", index).withColumn("meta", F.col("doc_id").cast("string")))
+
+
+def items(spark, sf_dir) -> DataFrame:
+    """benchmark as genomes of eight items."""
+    b = table(spark, sf_dir, "benchmark")
+    own = b.select("item_id", F.concat(F.lit("g"), F.floor(F.col("item_id") / 8)).alias("genome"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+    index = F.row_number().over(Window.partitionBy("genome").orderBy("item_id")) - 1
+    return numbered(own.withColumn("genome_index", index).withColumn("meta", F.col("item_id").cast("string")))
+
+
+SEQ = """with raw as (select doc_id, source as genome, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as seq from documents),
+seqs as (select (row_number() over (order by genome, doc_id) - 1)::int as abs_id, genome, count(*) over (partition by genome)::int as genome_size,
+  (row_number() over (partition by genome order by doc_id) - 1)::int as genome_index, doc_id::varchar as meta, seq, length(seq)::int as len from raw where length(seq) >= 30)
+"""
+
+# lists of items by order: customers of a nation as a cluster, and the same by order count
+LISTS = """with c as (select (o_orderkey % 97)::int as pos, list(distinct o_custkey order by o_custkey) as members from orders group by 1)
+"""
+
+
+def lists(spark, sf_dir, by: int = 97) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_orderkey") % by).cast("int").alias("pos")).agg(F.array_sort(F.collect_set("o_custkey")).alias("members"))
+
+
+def result_rows(spark, sf_dir, shift: int) -> DataFrame:
+    """Match-like rows from lineitem: two runs that differ where the quantity does."""
+    x = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    return x.where(q % 7 != shift).select(F.col("l_returnflag").alias("genome1"), F.col("l_linestatus").alias("genome2"), F.col("l_orderkey").cast("int").alias("seq1"), F.col("l_linenumber").cast("int").alias("seq2"), F.lit(1).alias("a1"), q.alias("b1"), F.lit(1).alias("a2"), (q + F.when(q % 11 == shift, 1).otherwise(0)).alias("b2"), (q * 10).alias("score"))
+
+
+def _rows_sql(shift: int) -> str:
+    return f"""select l_returnflag as genome1, l_linestatus as genome2, l_orderkey::int as seq1, l_linenumber::int as seq2, 1 as a1, trunc(l_quantity)::int as b1, 1 as a2,
+  (trunc(l_quantity)::int + case when trunc(l_quantity)::int % 11 = {shift} then 1 else 0 end)::int as b2, (trunc(l_quantity)::int * 10)::int as score
+  from lineitem where trunc(l_quantity)::int % 7 <> {shift}"""
+
+
+RUNS = f"with a as ({_rows_sql(0)}), b as ({_rows_sql(1)})\n"
+COLS = ", ".join(V.KEY)
+
+
+def _runs(f):
+    return lambda s, d: f(result_rows(s, d, 0), result_rows(s, d, 1))
+
+
+def _self_score(seq) -> F.Column:
+    m = blosum62()
+    total = F.lit(0).cast("long")
+    for k in range(26):
+        if m[k, k]:
+            total = total + int(m[k, k]) * F.length(F.regexp_replace(seq, f"[^{chr(65 + k)}]", "")).cast("long")
+    return total
+
+
+SELF = " + ".join(f"{int(blosum62()[k, k])} * length(regexp_replace(seq, '[^{chr(65 + k)}]', '', 'g'))" for k in range(26) if blosum62()[k, k])
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    s = items(spark, sf_dir)
+    side = lambda n: s.select(*[F.col(c).alias(c + n) for c in ("abs_id", "genome", "genome_size", "genome_index", "len")])
+    return side("1").join(side("2"), F.col("abs_id1") < F.col("abs_id2"))
+
+
+ITEMS = """with raw as (select item_id, 'g' || (item_id // 8) as genome, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as seq from benchmark),
+seqs as (select (row_number() over (order by genome, item_id) - 1)::int as abs_id, genome, count(*) over (partition by genome)::int as genome_size,
+  (row_number() over (partition by genome order by item_id) - 1)::int as genome_index, seq, length(seq)::int as len from raw)
+"""
+
+
+def pair_orientation(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    swap = C.oriented_second(*[F.col(c) for c in ("genome_size1", "genome1", "genome_index1", "genome_size2", "genome2", "genome_index2")])
+    return p.select(F.when(swap, F.col("abs_id2")).otherwise(F.col("abs_id1")).alias("first"), F.when(swap, F.col("abs_id1")).otherwise(F.col("abs_id2")).alias("second"))
+
+
+def length_constraint(spark, sf_dir):
+    least = F.greatest(F.lit(30.0), 0.3 * F.least("len1", "len2"))
+    return _pairs(spark, sf_dir).select("abs_id1", "abs_id2", (F.least("len1", "len2") >= least).alias("passes"))
+
+
+def merge_schedule(spark, sf_dir):
+    rows = schedule(table(spark, sf_dir, "benchmark").count())
+    return spark.createDataFrame(rows, "merge_id int, left_item int, right_item int, level int").drop("level")
+
+
+def pair_dedup(spark, sf_dir):
+    """First (largest) cluster that holds each pair."""
+    c = lists(spark, sf_dir).withColumn("size", F.size("members"))
+    m = c.select("pos", "size", F.explode("members").alias("m"))
+    p = m.alias("x").join(m.alias("y"), ["pos", "size"]).where("x.m < y.m").select(F.col("x.m").alias("a"), F.col("y.m").alias("b"), "pos", "size")
+    return p.groupBy("a", "b").agg(F.max("size").alias("cluster_size"))
+
+
+def formatted(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    m = x.select(F.col("l_orderkey").cast("int").alias("idx1"), F.col("l_linenumber").cast("int").alias("idx2"), q.cast("double").alias("score"), (q * 4).cast("double").alias("distance"), F.lit(0).alias("seq1_min"), q.alias("seq1_max"), F.lit(2).alias("seq2_min"), q.alias("seq2_max"), F.lit(0.5).alias("variance"), F.lit(3).alias("cluster_size"))
+    return m.select(match_row(m).alias("row"))
+
+
+def clusters(spark, sf_dir):
+    return C.cluster(items(spark, sf_dir), PARAMS)
+
+
+def cluster_matches(spark, sf_dir):
+    s = items(spark, sf_dir)
+    return C.matches(C.candidate_pairs(C.cluster(s, PARAMS), s), s, PARAMS)
+
+
+def events_rate(spark, sf_dir):
+    e = V.rates(table(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id")
+    return e.select("event_id", "rate")
+
+
+QUERIES = {
+    "sequences_load": lambda s, d: sequences(s, d),
+    "genome_sizes": lambda s, d: sequences(s, d).groupBy("genome").agg(F.count("*").alias("n"), F.sum("len").alias("residues")),
+    "residue_histogram": lambda s, d: sequences(s, d).select(F.explode(F.split("seq", "")).alias("residue")).where("residue <> ''").groupBy("residue").agg(F.count("*").alias("n")),
+    "length_guard": lambda s, d: sequences(s, d).select("abs_id", (F.col("len") > C.LONGEST).alias("too_long")),
+    "db_lengths": lambda s, d: sequences(s, d).select("len", "meta"),
+    "substitution_self_score": lambda s, d: sequences(s, d).select("abs_id", _self_score(F.col("seq")).alias("self_score")),
+    "pair_orientation": pair_orientation,
+    "length_constraint": length_constraint,
+    "merge_schedule": merge_schedule,
+    "sw_similar_pairs": lambda s, d: C.similar_pairs(items(s, d), PARAMS),
+    "query_scan": lambda s, d: (lambda x: C.query_scan(x, x, PARAMS))(items(s, d).select(F.col("abs_id").cast("long").alias("id"), "seq")),
+    "clusters_sequential": clusters,
+    "clusters_parallel": lambda s, d: C.cluster(items(s, d), PARAMS, mode="parallel"),
+    "cluster_matches": cluster_matches,
+    "cluster_dedup_sorted": lambda s, d: C.drop_repeated_clusters(lists(s, d)).select("pos", F.size("members").alias("size")),
+    "cluster_size_histogram": lambda s, d: V.size_histogram(lists(s, d)),
+    "biggest_clusters": lambda s, d: V.biggest(lists(s, d)),
+    "cluster_report": lambda s, d: V.cluster_report(lists(s, d)),
+    "cluster_diff": lambda s, d: V.clusters_minus(lists(s, d), lists(s, d, 89)).select(F.size("members").alias("size")),
+    "rep_intersection": lambda s, d: V.common_representatives(lists(s, d), lists(s, d, 89)),
+    "pair_dedup_first_cluster": pair_dedup,
+    "match_format": formatted,
+    "match_union": _runs(V.union),
+    "match_intersect": _runs(V.both),
+    "match_minus": _runs(V.minus),
+    "match_symdiff": _runs(V.symmetric),
+    "match_duplicates": lambda s, d: V.duplicates(result_rows(s, d, 0).drop("seq1").withColumn("seq1", F.lit(1))),
+    "recall_report": _runs(V.recall),
+    "missed_score_stats": _runs(V.missed_scores),
+    "rate_from_counters": events_rate,
+    "elapsed_since_first": lambda s, d: V.elapsed(table(s, d, "events"), "user_id", "ts").select("event_id", "elapsed_us"),
+    "avg_by_group": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value")),
+}
+
+_A89 = LISTS + ", e as (select (o_orderkey % 89)::int as pos, list(distinct o_custkey order by o_custkey) as members from orders group by 1)\n"
+ORACLES = {
+    "sequences_load": SEQ + "select * from seqs",
+    "genome_sizes": SEQ + "select genome, count(*) as n, sum(len)::bigint as residues from seqs group by genome",
+    "residue_histogram": SEQ + "select residue, count(*) as n from (select unnest(string_split(seq, '')) as residue from seqs) where residue <> '' group by residue",
+    "length_guard": SEQ + f"select abs_id, len > {C.LONGEST} as too_long from seqs",
+    "db_lengths": SEQ + "select len, meta from seqs",
+    "substitution_self_score": SEQ + f"select abs_id, ({SELF})::bigint as self_score from seqs",
+    "pair_orientation": ITEMS + """select case when s then y else x end as first, case when s then x else y end as second from (select a.abs_id as x, b.abs_id as y,
+  case when a.genome = b.genome then b.genome_index < a.genome_index else b.genome_size < a.genome_size or (b.genome_size = a.genome_size and b.genome < a.genome) end as s
+  from seqs a join seqs b on a.abs_id < b.abs_id)""",
+    "length_constraint": ITEMS + "select a.abs_id as abs_id1, b.abs_id as abs_id2, least(a.len, b.len) >= greatest(30.0, 0.3 * least(a.len, b.len)) as passes from seqs a join seqs b on a.abs_id < b.abs_id",
+    "merge_schedule": "select k::int as merge_id, (2 * k)::int as left_item, (2 * k + 1)::int as right_item from (select unnest(range((select count(*) from benchmark) - 1)) as k)",
+    "cluster_dedup_sorted": LISTS + "select min(pos) as pos, any_value(len(members))::int as size from c group by members",
+    "cluster_size_histogram": LISTS + "select len(members)::int as size, count(*) as n_clusters from c group by 1",
+    "biggest_clusters": LISTS + "select pos, len(members)::int as size from c order by size desc, pos limit 5",
+    "cluster_report": LISTS + "select count(*) as n_clusters, count(distinct members) as n_distinct, count(distinct members[1]) as n_representatives from c",
+    "cluster_diff": _A89 + "select len(members)::int as size from (select members from c except select members from e)",
+    "rep_intersection": _A89 + "select members[1] as representative from c intersect select members[1] from e",
+    "pair_dedup_first_cluster": LISTS + ", m as (select pos, len(members)::int as size, unnest(members) as m from c) select x.m as a, y.m as b, max(x.size)::int as cluster_size from m x join m y on x.pos = y.pos and x.m < y.m group by 1, 2",
+    "match_format": """select '[' || (l_orderkey + 1) || ', ' || (l_linenumber + 1) || ', ' || printf('%.7f', q::double) || ', ' || case when 4 * q >= 45 then (4 * q)::varchar else printf('%.4f', (4 * q)::double) end
+  || ', 1..' || (q + 1) || ', 3..' || (q + 1) || ', 0.50000000, 3]' as row from (select *, trunc(l_quantity)::int as q from lineitem)""",
+    "match_union": RUNS + f"select {COLS} from a union select {COLS} from b",
+    "match_intersect": RUNS + f"select {COLS} from a intersect select {COLS} from b",
+    "match_minus": RUNS + f"select {COLS} from a except select {COLS} from b",
+    "match_symdiff": RUNS + f"(select {COLS} from a except select {COLS} from b) union all (select {COLS} from b except select {COLS} from a)",
+    "match_duplicates": RUNS + "select genome1, genome2, 1 as seq1, seq2, a1, b1, a2, b2, score, count(*) as n from a group by all having count(*) > 1",
+    "recall_report": RUNS + f""", x as (select (select count(*) from (select {COLS} from a intersect select {COLS} from b)) as n_both,
+  (select count(*) from (select {COLS} from a except select {COLS} from b)) as n_reference_only, (select count(*) from (select {COLS} from b except select {COLS} from a)) as n_other_only)
+  select *, 100.0::double * n_both / (n_both + n_reference_only) as recall_percent from x""",
+    "missed_score_stats": RUNS + f", m as (select score from (select {COLS} from a except select {COLS} from b)) select count(*) as n, avg(score) as mean, list_sort(list(score))[(count(*) // 2) + 1] as median from m",
+    "rate_from_counters": """select event_id, case when dt > 0 then dv / (dt / 1e6) end as rate from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over w as dt, value - lag(value) over w as dv
+  from events window w as (partition by user_id order by ts, event_id))""",
+    "elapsed_since_first": "select event_id, epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id) as elapsed_us from events",
+    "avg_by_group": "select event_type, count(*) as n, round(avg(value), 6) as avg_value from events group by event_type",
+}
