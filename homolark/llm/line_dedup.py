@@ -30,7 +30,7 @@ from .common import LOWER, NULL_ID, U, as_batches, bucketed, gathered, longs, me
 MIN_WORDS = 5
 
 KEYS = "key long, kind int, lh long, b int, doc long, line int"
-REPLY = "b int, kind int, lh long"
+REPLY = "b int, kind int, lh long, doc long"
 VARIANTS = "key long, pos int, b int, doc long, line int, sb int, sdoc long, sline int"
 MATCH = "b int, doc long, line int, sb int, sdoc long, sline int"
 FINAL = "b int, kind int, lh long, doc long, line int, sdoc long, sline int, words string"
@@ -106,6 +106,11 @@ class Lines:
         return np.array([a + np.searchsorted(self.line[a:b], x) for a, b, x in zip(lo, hi, line, strict=True)], np.int64)
 
 
+def _only(table: pa.Table, docs: np.ndarray) -> pa.Table:
+    """Rows of these documents."""
+    return table.filter(pa.array(np.isin(longs(table["doc_id"]), docs)))
+
+
 def _keys(batches):
     table = gathered(batches)
     if table is None:
@@ -150,15 +155,15 @@ def _meet(batches):
         differs = lh[s] != lh[s][head]
         s = s[np.isin(head, head[differs])]
     at = np.concatenate([e, s])
-    yield from as_batches(pa.table({"b": b[at], "kind": kind[at], "lh": lh[at]}))
+    yield from as_batches(pa.table({"b": b[at], "kind": kind[at], "lh": lh[at], "doc": doc[at]}))
 
 
 def _variants(left: pa.Table, right: pa.Table) -> pa.Table:
     none = {"key": pa.array([], pa.int64()), "pos": pa.array([], pa.int32()), "b": pa.array([], pa.int32()), "doc": pa.array([], pa.int64()), "line": pa.array([], pa.int32()), "sb": pa.array([], pa.int32()), "sdoc": pa.array([], pa.int64()), "sline": pa.array([], pa.int32())}
     if not left.num_rows or not right.num_rows:
         return pa.table(none)
-    x = Lines(left)
     kind, asked = right["kind"].to_numpy(), right["lh"].to_numpy().view(U)
+    x = Lines(_only(left, right["doc"].to_numpy()[kind == 1]))
     lh, i = np.unique(x.whole(), return_index=True)
     i = np.sort(i[member(lh, np.unique(asked[kind == 1])) & ~member(lh, np.unique(asked[kind == 0]))])
     each = np.repeat(i, x.n[i])
@@ -215,7 +220,7 @@ def _matches(batches):
 def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return pa.table({"b": pa.array([], pa.int32()), "sdoc": pa.array([], pa.int64()), "sline": pa.array([], pa.int32()), "words": pa.array([], pa.string())})
-    x = Lines(left)
+    x = Lines(_only(left, right["sdoc"].to_numpy()))
     at = x.find(right["sdoc"].to_numpy(), right["sline"].to_numpy())
     return pa.table({"b": right["b"], "sdoc": right["sdoc"], "sline": right["sline"], "words": pa.array([x.words(i) for i in at], pa.binary()).cast(pa.string())})
 
@@ -286,7 +291,7 @@ def line_dedup(docs: DataFrame, *carry: str) -> DataFrame:
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
     full, n = bucketed(docs, *rest)
     dealt = full  # every pass reads the same exchange
-    reply = dealt.mapInArrow(_keys, KEYS).repartition(n, "key").mapInArrow(_meet, REPLY).groupBy("b", "kind", "lh").count().drop("count")
+    reply = dealt.mapInArrow(_keys, KEYS).repartition(n, "key").mapInArrow(_meet, REPLY).groupBy("b", "kind", "lh").agg(F.min("doc").alias("doc"))
     met = dealt.groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_variants, VARIANTS).repartition(n, "key").mapInArrow(_matches, MATCH)
     best = met.groupBy("b", "doc", "line").agg(F.min(F.struct("sdoc", "sline", "sb")).alias("s")).select("b", "doc", "line", "s.*")
     asked = best.select("sb", "sdoc", "sline", F.col("b").alias("to")).distinct().select(F.col("sb"), F.col("to").alias("b"), "sdoc", "sline")
