@@ -159,6 +159,7 @@ def _write(path: str, vocab: int, end: int):
                 a = b
         if docs:
             yield from flush()
+        encoder(path).rest()
 
     return run
 

@@ -16,7 +16,7 @@ import xxhash
 
 from .common import U, mix, utf8, words
 
-PIECES = 1_000_000  # remembered at most
+PIECES = 800_000  # remembered at most, and half of it between tasks
 
 # First bytes, and then second bytes, of the UTF-8 of white space and separators beyond ASCII's; U+001C to U+001F alone.
 _LEAD = np.zeros(256, bool)
@@ -51,14 +51,26 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.path, self._tok = path, None
         self.cutter = Tokenizer.from_file(path)  # here the end mark is a token of its own and parts the pieces of a batch
         self.mark = "<|endoftext|>"
         self.mark_id = self.cutter.token_to_id(self.mark)
-        self.gaps = type(self.tok.pre_tokenizer).__name__ == "ByteLevel"  # white space counts
+        self.gaps = type(self.cutter.pre_tokenizer).__name__ == "ByteLevel"  # white space counts
         self._reset()
 
+    @property
+    def tok(self):
+        """For what the other one would cut: the mark's own letters in a text, and whole odd texts."""
+        if self._tok is None:
+            self._tok = type(self.cutter).from_file(self.path)
+            self._tok.encode_special_tokens = True
+        return self._tok
+
+    def rest(self) -> None:
+        """To be called when a task ends: a worker that waits shall not hold much."""
+        if 2 * len(self.seen) > PIECES:
+            self._reset()
+
     def _reset(self) -> None:
         self.seen, self.flat = _Memory(), np.zeros(1 << 16, np.int32)
         self.start, self.size, self.used, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
