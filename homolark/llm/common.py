@@ -6,6 +6,9 @@ numpy over a whole buffer, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -89,6 +92,14 @@ def longs(column: pa.ChunkedArray | pa.Array, null: int = NULL_ID) -> np.ndarray
     return column.fill_null(null).to_numpy().astype(np.int64, copy=False)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task otherwise keeps its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -176,6 +187,8 @@ def gathered(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
 def as_batches(table: pa.Table | None) -> Iterator[pa.RecordBatch]:
     if table is not None:
         yield from table.combine_chunks().to_batches(max_chunksize=50_000)
+        del table
+        trim()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

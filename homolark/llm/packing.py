@@ -155,6 +155,7 @@ def _pack(path: str, end: int, tiers: tuple[int, ...], group: int):
                     ids, texts, size = [], [], 0
         if texts:
             yield from flush(ids, texts)
+            ids, texts = [], []
         encoder(path).rest()
 
     return run

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .common import U, mix, utf8, words
+from .common import U, mix, trim, utf8, words
 
-PIECES = 800_000  # remembered at most, and half of it between tasks
+PIECES = 500_000  # remembered at most, and half of it between tasks
 
 # First bytes, and then second bytes, of the UTF-8 of white space and separators beyond ASCII's; U+001C to U+001F alone.
 _LEAD = np.zeros(256, bool)
@@ -70,6 +70,7 @@ class Encoder:
         """To be called when a task ends: a worker that waits shall not hold much."""
         if 2 * len(self.seen) > PIECES:
             self._reset()
+        trim()
 
     def _reset(self) -> None:
         self.seen, self.flat = _Memory(), np.zeros(1 << 16, np.int32)
