@@ -2,8 +2,8 @@
 
 Paragraphs (non-blank lines) are classified by multinomial logistic regression over hashed word 1- to 3-grams into licence
 families and an unknown class. It is trained here: positives are the families' templates with drawn-in variations;
-negatives are a bounded sample of the corpus' own paragraphs (`NEGATIVES` with the lowest hashes, a documented bound)
-that hold no template. Probabilities are calibrated by a temperature fitted on held-out paragraphs, and a family needs
+negatives are a bounded sample of the corpus' own paragraphs that hold no template: of evenly spread ones (some 400 from
+each batch that a task reads) the `NEGATIVES` with the lowest hashes, a documented bound. Probabilities are calibrated by a temperature fitted on held-out paragraphs, and a family needs
 `CONFIDENT`. Then a template of that family must agree: five-word shingles (all words if fewer) of the template found in the
 paragraph at `CONFIRM` or more. A long paragraph is classified by windows of `SPAN` words with half overlap.
 

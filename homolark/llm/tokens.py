@@ -9,6 +9,7 @@ of pieces is bounded and starts anew when full. Texts with white space other tha
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ for _a, _b in ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE1, 0xA0), (0xE2, 0x
     _SECOND[_a, _b] = True
 
 
+_ODD = re.compile("[" + "".join(chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2080), *range(0x3000, 0x3040), 0xFEFF)) + "]")
+_SPACE = frozenset(" \t\n\r\x0b\x0c")
+
+
 def odd_texts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(_LEAD[data])
     at = at[_SECOND[data[at], data[np.minimum(at + 1, len(data) - 1)]]] if len(at) else at
@@ -56,6 +61,10 @@ class Encoder:
         self.mark = "<|endoftext|>"
         self.mark_id = self.cutter.token_to_id(self.mark)
         self.gaps = type(self.cutter.pre_tokenizer).__name__ == "ByteLevel"  # white space counts
+        # a byte-level token's text has a character for each byte
+        self.token_bytes = np.zeros(self.cutter.get_vocab_size(), np.int64)
+        for token, i in self.cutter.get_vocab().items() if self.gaps else ():
+            self.token_bytes[i] = len(token)
         self._reset()
 
     @property
@@ -80,6 +89,10 @@ class Encoder:
         sizes, flats = [], []
         for a in range(0, len(new), 2000):
             part = new[a : a + 2000]
+            if self.gaps and (got := self._end_to_end(part)):
+                sizes.append(got[0])
+                flats.append(got[1])
+                continue
             joined = self.mark.join(part) + self.mark
             if joined.count(self.mark) == len(part):
                 ids = np.array(self.cutter.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
@@ -100,6 +113,19 @@ class Encoder:
         self.size[self.n : self.n + len(size)] = size
         self.used, self.n = self.used + len(flat), self.n + len(size)
 
+    def _end_to_end(self, part: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Byte-level pieces of white space and a word follow each other as in a text, and tokens keep all bytes: their lengths tell where a piece ends."""
+        joined = "".join(part)
+        if self.mark in joined or _ODD.search(joined) or not all(p[0] in _SPACE and p[-1] not in _SPACE for p in part):
+            return None
+        ids = np.array(self.cutter.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(self.token_bytes[ids])
+        want = np.cumsum([len(p.encode()) for p in part])
+        at = np.searchsorted(ends, want)
+        if at[-1] >= len(ends) or (ends[at] != want).any():
+            return None
+        return np.diff(at, prepend=-1), ids
+
     def _pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of all pieces, and the index of each text's first."""
         s, e, first, h = words(data, off)
