@@ -17,7 +17,7 @@ import xxhash
 
 from .common import U, mix, trim, utf8, words
 
-PIECES = 500_000  # remembered at most, and half of it between tasks
+PIECES = 1_200_000  # remembered at most, at some 50 bytes each
 
 # First bytes, and then second bytes, of the UTF-8 of white space and separators beyond ASCII's; U+001C to U+001F alone.
 _LEAD = np.zeros(256, bool)
@@ -38,19 +38,6 @@ def odd_texts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(off, at, "right") - 1)
 
 
-class _Memory(dict):
-    """Hash of a piece -> place; unseen ones get the next place and wait to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.pending: list[int] = []
-
-    def __missing__(self, key: int) -> int:
-        self[key] = n = len(self)
-        self.pending.append(key)
-        return n
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -77,12 +64,11 @@ class Encoder:
 
     def rest(self) -> None:
         """To be called when a task ends: a worker that waits shall not hold much."""
-        if 2 * len(self.seen) > PIECES:
-            self._reset()
         trim()
 
     def _reset(self) -> None:
-        self.seen, self.flat = _Memory(), np.zeros(1 << 16, np.int32)
+        self.keys, self.places = np.zeros(0, U), np.zeros(0, np.int32)  # hashes in order, and their pieces' places
+        self.flat = np.zeros(1 << 16, np.int32)
         self.start, self.size, self.used, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
 
     def _learn(self, new: list[str]) -> None:
@@ -157,15 +143,21 @@ class Encoder:
         """Ids of all texts (null: empty) one after the other, each with `end` appended, and their offsets."""
         data, off = utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         n = len(off) - 1
-        if len(self.seen) > PIECES:
+        if len(self.keys) > PIECES:
             self._reset()
         odd = odd_texts(data, off) if len(data) else np.zeros(0, np.int64)
         s, e, key, first = self._pieces(data, off)
         key, at, place = np.unique(key, return_index=True, return_inverse=True)
-        places = np.array(list(map(self.seen.__getitem__, key.tolist())), np.int64)
-        if self.seen.pending:
-            self.seen.pending.clear()
-            new = np.flatnonzero(places >= self.n)  # in the order in which they got their places
+        slot = np.searchsorted(self.keys, key)
+        known = np.zeros(len(key), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(slot, len(self.keys) - 1)] == key
+        places = np.zeros(len(key), np.int32)
+        places[known] = self.places[slot[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            places[new] = self.n + np.arange(len(new))
+            self.keys, self.places = np.insert(self.keys, slot[new], key[new]), np.insert(self.places, slot[new], places[new])
             raw = data.tobytes()
             self._learn([raw[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
         p = places[place]
