@@ -29,7 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that had lines and lost all its words goes with them."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = line_dedup(docs, *rest).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return _counted(out.withColumn("text", F.col("kept_text")).select(*docs.columns))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    return _counted(out.select(*[own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,6 +235,15 @@ def within_one(a: list, b: list) -> bool:
     return a[p + 1 :] == b[p + 1 :] if len(a) == len(b) else a[p:] == b[p + 1 :]
 
 
+def _nullable(t: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed everywhere, as a declared schema has it."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in t])
+    if pa.types.is_list(t):
+        return pa.list_(_nullable(t.value_type))
+    return pa.map_(t.key_type, _nullable(t.item_type)) if pa.types.is_map(t) else t
+
+
 def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
     x = Lines(left)
     whole = x.whole()
@@ -272,21 +281,12 @@ def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
     flat = [dict(zip(("line", "src_doc", "src_line"), t, strict=True)) for rows in removed for t in rows]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_removed)]), pa.int32()), pa.array(flat, struct))
     n_lines = np.diff(x.line0) * np.array(valid, np.int64)
-    return pa.table({"doc_id": x.table["doc_id"], "n_lines": n_lines, "n_removed": n_removed, "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": lists})
-
-
-def _with_rest(*columns):
-    """As `_apply`, passing further columns of `docs` on in a struct."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = _apply(left, right)
-        return out.append_column("rest", Lines(left).table["rest"].combine_chunks())
-
-    return run if columns else _apply
+    rest = {"rest": (own := x.table["rest"].combine_chunks()).cast(_nullable(own.type))} if "rest" in x.table.column_names else {}
+    return pa.table({"doc_id": x.table["doc_id"], "n_lines": n_lines, "n_removed": n_removed, "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": lists} | rest)
 
 
 def line_dedup(docs: DataFrame, *carry: str) -> DataFrame:
-    """Per row of `docs`: n_lines, n_removed, kept_text, removed (near repeats name their source), and the columns `carry`."""
+    """Per row of `docs`: n_lines, n_removed, kept_text, removed (near repeats name their source), and a struct `rest` of the columns `carry`, if any, so that names cannot clash."""
     tune(docs.sparkSession)
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
     full, n = bucketed(docs, *rest)
@@ -304,8 +304,9 @@ def line_dedup(docs: DataFrame, *carry: str) -> DataFrame:
     )
     kinds = dict((f.name, f.dataType) for f in docs.schema.fields)
     schema = RESULT + (", rest struct<" + ",".join(f"c{i}:{kinds[c].simpleString()}" for i, c in enumerate(carry)) + ">" if carry else "")
-    out = dealt.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(_with_rest(*carry), schema)
-    return out.select("doc_id", "n_lines", "n_removed", "kept_text", "removed", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)])
+    out = dealt.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(_apply, schema)
+    named = [F.struct(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)]).alias("rest")] if carry else []
+    return out.select("doc_id", "n_lines", "n_removed", "kept_text", "removed", *named)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ before the shuffle; the texts themselves are never shuffled. Lines that exceed t
 equi-join on (host, line), which AQE splits where a line is hot.
 
 Null text has no words and fails the base rules. Null source is a host of its own. Rows equal in doc_id, source and
-text get equal verdicts.
+text get equal verdicts. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -123,11 +123,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """Kept rows of docs, without their lines above the limit."""
     # a filter does not move below a non-deterministic column: below, it would write out the features' lambdas again and again
-    fenced = features(docs).withColumn("__row", F.monotonically_increasing_id())
+    own = {c: c if c in ("doc_id", "source", "text") else f"__c{i}" for i, c in enumerate(docs.columns)}  # names of ours may clash with names of docs
+    fenced = features(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])).withColumn("__row", F.monotonically_increasing_id())
     rated = _with_removed(fenced).where(verdict() & (F.col("__row") >= 0))
     gone = F.col("removed_lines")
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return rated.withColumn("text", F.when(gone.isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    return rated.withColumn("text", F.when(gone.isNotNull(), text).otherwise(F.col("text"))).select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline as C
 import pytest
+from pyspark.sql import functions as F
 from test_native import ITEMS, slow_contaminated
 from test_text_dedup import WORD, docs_of, edits, ordered, slow_fingerprint, texts  # noqa: F401
 from test_tokens import plain
@@ -62,3 +63,15 @@ def test_run(spark, sf):
     assert {r.doc_id: r.doc_tokens for r in got} == {i: len(x) for i, x in ids.items()}
     assert sum(r.length for r in got) == sum(map(len, ids.values())) and len(want) > 10
     assert re.match("quality", C.STAGES[0][0]) and [k for k, _ in C.STAGES] == ["quality_rules", "line_dedup", "simhash_dedup", "decontamination", "packing"]
+
+
+def test_clashing_columns(spark, sf):
+    """Columns named as the operators' own, and never null, pass every stage that returns documents."""
+    _, path = sf
+    names = "n_words kept n_removed removed_lines n_removed_words kept_text removed rest b fp component_id pos h slots item_id".split()
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({n: F.lit("own") for n in names} | {"c0": F.array(F.lit(1))})
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == "own" for r in rows for n in names) and all(r["c0"] == [1] for r in rows)
