@@ -1,17 +1,18 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 Training counts, over the whole training part, each symbol after each context of `ORDER` bytes or fewer (a text is
-padded in front and ends with an end symbol). The trie keeps the contexts that hold at least `1/CONTEXTS` of all training
-symbols: that is at most `CONTEXTS` per order whatever the corpus, so it may be broadcast, and being relative it behaves alike at
-every size. Contexts are closed under suffix and prefix. Escape is by method C (distinct symbols), and symbols of
-longer contexts are excluded from shorter ones; what no context has seen is uniform over the symbols left. The trie
-is compiled to two tables (code length and next context for context and symbol), and texts are scored in lockstep, cut in
-pieces that warm up over `ORDER` bytes, which gives the same sum as one pass.
+padded in front and ends with an end symbol). Every context counts, however rare. Escape is by method C (distinct symbols), and
+symbols of longer contexts are excluded from shorter ones; what no context has seen is uniform over the symbols left.
+
+The model is never in one place. Each block of documents asks for its distinct codes (a context and a symbol) and says how
+often its training texts hold them; a code goes to the part that has all contexts with the same last `NEAR` bytes, which adds
+up the counts of orders `NEAR` to `ORDER` and answers each block with code lengths. Only counts of orders below `NEAR` are broadcast:
+they are bounded by the number of byte triples, whatever the corpus.
 
 `adaptive_bits` is the model without pretraining: it learns from the text while it codes it.
 
-The base score is an add-one unigram model over words. Its vocabulary is not broadcast: each block of documents sends
-one row per distinct word and gets that word's corpus count back.
+The base score is an add-one unigram model over words. Its vocabulary is not broadcast: each block asks for its distinct
+words in the same way and gets their corpus counts back.
 
 A-Z are lower-cased for both. Null text is empty: only the end token. Held out: crc32 of doc_id as text mod 7 is 2; a
 null doc_id is never held out. Words are compared by 64-bit hashes. Rows are scored independently.
@@ -26,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, as_batches, bucketed, cut, gathered, signed, tune, utf8, words
+from .common import LOWER, U, as_batches, gathered, mix, n_buckets, signed, trim, tune, utf8, words
 
 ORDER = 6
-CONTEXTS = 131072
-PIECE = 512
+NEAR = 3
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 SYMBOLS = 257  # 256 bytes and the end
 
@@ -45,105 +45,93 @@ def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(start, len(out))
 
 
-def _grams(batches):
-    """Counts of (context, symbol) codes of this partition, and at -1 and -2 the numbers of words and of texts."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n_words = n_texts = 0
+def coded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each symbol, its context and itself, end to end; where each text's codes start (one more at the end)."""
+    buf, start = padded(data, off)
+    code = np.zeros(max(0, len(buf) - ORDER), np.int64)
+    for k in range(ORDER + 1):
+        code = code << 8 | buf[k : k + len(code)]
+    return code[buf[ORDER:] != PAD], start - ORDER * np.arange(len(start))
 
-    def merge():
-        code, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        u, at = np.unique(code, return_inverse=True)
-        held[:] = [(u, np.bincount(at, n, len(u)).astype(np.int64))]
 
+def _low(batches):
+    """Counts of (context, symbol) codes of order NEAR - 1 of this partition, and at -1 and -2 the numbers of words and of texts."""
+    held = np.zeros((2, 0), np.int64)
+    n_words = n_texts = 0
     for x in batches:
         data, off = utf8(x.column(0))
         n_texts += x.num_rows
         n_words += len(words(data, off, False)[0])
-        buf, _ = padded(data, off)
-        code = np.zeros(len(buf) - ORDER, np.int64)
-        for k in range(ORDER + 1):
-            code = code << 8 | buf[k : k + len(code)]
-        code = code[buf[ORDER:] != PAD]
-        held.append(np.unique(code, return_counts=True))
-        if len(held) > 8:
-            merge()
-    if held:
-        merge()
-        yield from as_batches(pa.table({"code": np.append(held[0][0], [-1, -2]), "n": np.append(held[0][1], [n_words, n_texts])}))
-
-
-class Trie:
-    """Compiled tables: logp and nxt, both [context, column]; column of each byte, of the end, and the state before a text."""
-
-    def __init__(self, order: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.ndarray):
-        seen = np.unique(symbol[order == 0])
-        cols = np.append(seen, [-1, PAD])  # what was never seen, and the pad, which only makes contexts
-        self.column = np.full(256, len(seen), np.int32)
-        self.column[seen] = np.arange(len(seen))
-        self.end_column = int(self.column[END])
-        self.column[PAD] = len(seen) + 1
-        a = len(cols)
-        codes = [np.unique(np.append(context[order == k], [0] if k == 0 else [])).astype(np.int64) for k in range(ORDER + 1)]
-        first = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-        total = int(first[-1])
-        self.logp, self.nxt = np.zeros((total, a), np.float32), np.zeros((total, a), np.int32)
-        rest = np.zeros((total, a))  # probability after an escape
-        n = np.zeros((total, a))
-        for k in range(ORDER + 1):
-            m = order == k
-            n[first[k] + np.searchsorted(codes[k], context[m]), self.column[symbol[m]]] = count[m]
-        unseen = max(1, SYMBOLS - len(seen))
-        for k, code in enumerate(codes):
-            own = slice(first[k], first[k + 1])
-            here, has = n[own], n[own] > 0
-            if k == 0:
-                rest[own] = 1 / unseen
-            else:
-                up = first[k - 1] + np.searchsorted(codes[k - 1], code & ((1 << 8 * (k - 1)) - 1))
-                left = np.where(has, 0, n[up])
-                t, d = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-                esc = np.where(t > 0, d / np.maximum(t + d, 1), 1.0)
-                rest[own] = np.where(left > 0, left / np.maximum(t + d, 1), esc * rest[up])
-            t, d = here.sum(1, keepdims=True), has.sum(1, keepdims=True)
-            esc = np.where(t > 0, d / np.maximum(t + d, 1), 1.0)
-            self.logp[own] = np.log10(np.where(has, here / np.maximum(t + d, 1), esc * rest[own]))
-            far = (code[:, None] << 8) | np.where(cols < 0, 0, cols)
-            state = np.zeros(far.shape, np.int64)
-            todo = np.broadcast_to(cols >= 0, far.shape).copy()
-            for j in range(min(k + 1, ORDER), 0, -1):
-                if not len(codes[j]):
-                    continue
-                y = far & ((1 << 8 * j) - 1)
-                at = np.minimum(np.searchsorted(codes[j], y), len(codes[j]) - 1)
-                hit = todo & (codes[j][at] == y)
-                state[hit] = first[j] + at[hit]
-                todo &= ~hit
-            self.nxt[own] = state
-        self.width = a
-        self.flat_logp, self.flat_next = self.logp.ravel(), (self.nxt * a).ravel()
-        del self.logp, self.nxt
-
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        buf, start = padded(data, off)
-        col = self.column[buf]
-        col[buf == END] = self.end_column
-        size = np.diff(start) - ORDER
-        per = -(-size // PIECE)
-        doc = np.repeat(np.arange(len(size)), per)
-        at = start[:-1][doc] + PIECE * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
-        length = np.minimum(size[doc] - (at - start[:-1][doc]), PIECE)
-        by = np.argsort(-length, kind="stable")
-        doc, at, length = doc[by], at[by], length[by]
-        state, total = np.zeros(len(doc), np.int32), np.zeros(len(doc))
-        left = np.searchsorted(-length, -np.arange(PIECE + 1), "left")  # pieces longer than each step
-        for k in range(ORDER + (int(length[0]) if len(length) else 0)):
-            m = len(doc) if k < ORDER else left[k - ORDER]
-            cell = state[:m] + col[at[:m] + k]
-            if k >= ORDER:
-                total[:m] += self.flat_logp.take(cell)
-            state[:m] = self.flat_next.take(cell)
-        return np.bincount(doc, total, len(size))
+        u, at = distinct((coded(data, off)[0] & ((1 << 8 * NEAR) - 1)).astype(np.int32))
+        code, n = np.concatenate([held[0], u]), np.concatenate([held[1], np.bincount(at, minlength=len(u))])
+        u, at = np.unique(code, return_inverse=True)
+        held = np.stack([u, np.bincount(at, n, len(u)).astype(np.int64)])
+    if n_texts:
+        yield from as_batches(pa.table({"code": np.append(held[0], [-1, -2]), "n": np.append(held[1], [n_words, n_texts])}))
+
+
+class Level:
+    """Contexts of one order: how often each was seen, with how many symbols, and how often those symbols follow the next shorter context."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, shorter: np.ndarray | None = None):
+        self.code, self.n = code, n
+        ctx = code >> 8
+        first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
+        self.ctx = ctx[first]
+        self.total = np.add.reduceat(n, first) if len(first) else n
+        self.distinct = np.diff(np.append(first, len(ctx)))
+        self.shared = None if shorter is None else np.add.reduceat(shorter, first) if len(first) else n
+
+
+def _at(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where each x is in the sorted array `of`, or -1."""
+    if not len(of):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(of, x), len(of) - 1)
+    return np.where(of[at] == x, at, -1)
+
+
+def _shorter(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of order k with their counts, and which of them each code becomes."""
+    u, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    return u, np.bincount(at, n, len(u)).astype(np.int64), at
+
+
+def levels(code: np.ndarray, n: np.ndarray, top: int, bottom: int, below: list[Level]) -> list[Level]:
+    """Levels of orders 0 to `top` from the sorted codes of order `top`; those under `bottom` are `below`."""
+    out: list[Level] = []
+    for k in range(top, bottom - 1, -1):
+        if k > bottom:
+            c, m, at = _shorter(code, n, k - 1)
+            out.append(Level(code, n, m[at]))
+            code, n = c, m
+        elif below:
+            out.append(Level(code, n, below[k - 1].n[_at(code & ((1 << 8 * k) - 1), below[k - 1].code)]))
+        else:
+            out.append(Level(code, n))
+    return [*below, *out[::-1]]
+
+
+def code_logs(code: np.ndarray, model: list[Level]) -> np.ndarray:
+    """log10 probability of each code's symbol after its context."""
+    out = np.zeros(len(code))
+    left, longer = np.arange(len(code)), np.full(len(code), -1)  # codes no order has held yet, and the longer context of each if seen
+    for k in range(len(model) - 1, -1, -1):
+        m, own = model[k], code[left] & ((1 << 8 * (k + 1)) - 1)
+        ctx = _at(own >> 8, m.ctx)
+        t, d = np.where(ctx < 0, 0, m.total[ctx]) if len(m.ctx) else np.zeros(len(own)), np.where(ctx < 0, 0, m.distinct[ctx]) if len(m.ctx) else np.zeros(len(own))
+        seen = longer >= 0
+        if seen.any():  # then the shorter context has been seen too
+            t[seen] -= model[k + 1].shared[longer[seen]]
+            d[seen] -= model[k + 1].distinct[longer[seen]]
+        entry = _at(own, m.code)
+        hit = entry >= 0
+        out[left[hit]] += np.log10(m.n[entry[hit]] / (t[hit] + d[hit]))
+        some = ~hit & (d > 0)
+        out[left[some]] += np.log10(d[some] / (t[some] + d[some]))
+        left, longer = left[~hit], ctx[~hit]
+    out[left] -= math.log10(max(1, SYMBOLS - len(model[0].code)))
+    return out
 
 
 def adaptive_bits(text: str, order: int = ORDER) -> float:
@@ -174,21 +162,15 @@ def adaptive_bits(text: str, order: int = ORDER) -> float:
     return bits
 
 
-def train(texts: DataFrame) -> tuple[Trie, int, int]:
-    """The trie, and the numbers of words and texts, of a one-column DataFrame."""
-    tune(texts.sparkSession)
-    all_counts = cut(texts.mapInArrow(_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    sums = {r.code: r.n for r in all_counts.where("code < 0").collect()}
-    grams = all_counts.where("code >= 0").select(F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(255).cast("int").alias("symbol"), "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("ctx").bitwiseAND((1 << 8 * k) - 1).alias("c")) for k in range(ORDER + 1)])).alias("o")
-    entries = grams.select(each, "symbol", "n").groupBy("o.k", "o.c", "symbol").agg(F.sum("n").alias("n"))
-    least = total / CONTEXTS
-    kept = entries.groupBy("k", "c").agg(F.sum("n").alias("t")).where((F.col("t") >= least) | (F.col("k") == 0)).drop("t")
-    # kept: at most CONTEXTS rows of each order
-    got = entries.join(F.broadcast(kept), ["k", "c"]).select("k", "c", "symbol", "n").toArrow()
-    k, c, s, n = (got[x].to_numpy() for x in ("k", "c", "symbol", "n"))
-    return Trie(k, c, s, n), sums.get(-1, 0), sums.get(-2, 0)
+def train_low(texts: DataFrame) -> tuple[list[Level], int, int]:
+    """Levels of orders below NEAR, and the numbers of words and texts, of a one-column DataFrame."""
+    got = texts.mapInArrow(_low, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = got["code"].to_numpy(), got["n"].to_numpy()
+    by = np.argsort(code)
+    code, n = code[by], n[by]
+    real = code >= 0
+    sums = dict(zip(code[~real].tolist(), n[~real].tolist(), strict=True))
+    return levels(code[real], n[real], NEAR - 1, 0, []), sums.get(-1, 0), sums.get(-2, 0)
 
 
 def _lower(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -196,58 +178,162 @@ def _lower(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (LOWER[data] if len(data) else data), off
 
 
-def _words(batches):
-    """Of each block: distinct words, and how often each is in the block's training texts."""
-    table = gathered(batches)
-    if table is None:
-        return
-    for b in np.unique(table["b"].to_numpy()):
-        own = table.filter(pa.compute.equal(table["b"], int(b)))
-        _, _, first, h = words(*_lower(own))
-        train = np.repeat(~own["held"].to_numpy(zero_copy_only=False), np.diff(first))
-        u, at = np.unique(h, return_inverse=True)
-        yield from as_batches(pa.table({"h": signed(u), "b": np.full(len(u), b, np.int32), "n": np.bincount(at, train, len(u)).astype(np.int64)}))
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Bytes of equal weight next to each other, compressed."""
+    return _ZSTD.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(_ZSTD.decompress(data, n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
+
+
+def _parts(code: np.ndarray, n: int) -> np.ndarray:
+    """The part of each code: it has all contexts that share their last NEAR bytes."""
+    return (mix(((code >> 8) & ((1 << 8 * NEAR) - 1)).astype(U) + U(1)) % U(n)).astype(np.int32)
+
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and where each x is among them."""
+    d = pa.array(x).dictionary_encode()
+    u, at = d.dictionary.to_numpy(), d.indices.to_numpy()
+    by = np.argsort(u)
+    place = np.empty(len(u), np.int64)
+    place[by] = np.arange(len(u))
+    return u[by], place[at]
 
-def _totals(batches):
+
+def asked(table: pa.Table, n: int):
+    """What a block asks: for codes (0) and words (1), the sorted distinct values, the part of each, where each place's value is among them; texts' starts."""
+    data, off = _lower(table)
+    code, start = coded(data, off)
+    u, at = distinct(code)
+    yield 0, u, _parts(u, n), at, start
+    del code, u, at
+    _, _, first, h = words(data, off)
+    u, at = distinct(signed(h))
+    yield 1, u, (u.view(U) % U(n)).astype(np.int32), at, first
+
+
+def _ask(slots: list[int]):
+    """Of each block and kind: a row for each part, with the values and how often the block's training texts hold them."""
+
+    def run(batches):
+        table = gathered(batches)
+        if table is None:
+            return
+        for b in np.unique(table["b"].to_numpy()):
+            own = table.filter(pa.compute.equal(table["b"], int(b)))
+            train = ~own["held"].to_numpy(zero_copy_only=False)
+            for kind, u, part, at, first in asked(own, len(slots)):
+                n = np.bincount(at, np.repeat(train, np.diff(first)), len(u)).astype(np.int32)
+                by = np.argsort(part, kind="stable")
+                cuts = np.append(np.flatnonzero(np.append(True, np.diff(part[by]) != 0)), len(u)) if len(u) else [0]
+                rows = [(slots[part[by[i]]], j - i, pack(np.diff(u[by[i:j]], prepend=0)), pack(n[by[i:j]])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                for k in range(0, len(rows), 500):
+                    to, size, x, m = zip(*rows[k : k + 500], strict=True)
+                    columns = [pa.array(to, pa.int32()), pa.array([b] * len(to), pa.int32()), pa.array([kind] * len(to), pa.int32()), pa.array(size, pa.int32()), pa.array(x, pa.binary()), pa.array(m, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["to", "b", "kind", "size", "x", "n"])
+        del table
+        trim()
+
+    return run
+
+
+def _merged(table: pa.Table, kind: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a kind; distinct values asked, their counts, and where those of each row are among them, end to end."""
+    own = table.filter(pa.compute.equal(table["kind"], kind))
+    size = own["size"].to_pylist()
+    if not size:
+        return own, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = np.concatenate([np.cumsum(unpack(v.as_py(), k, np.int64)) for v, k in zip(own["x"], size, strict=True)])
+    n = np.concatenate([unpack(v.as_py(), k, np.int32) for v, k in zip(own["n"], size, strict=True)])
+    u, at = distinct(x)
+    return own, u, np.bincount(at, n, len(u)).astype(np.int64), at
+
+
+def _answer(low):
+    """Per row asked: log10 probabilities of codes as float32, corpus counts of words as int64."""
+
+    def run(batches):
+        table = gathered(batches)
+        if table is None:
+            return
+        for to in np.unique(table["to"].to_numpy()):
+            part = table.filter(pa.compute.equal(table["to"], int(to)))
+            for kind in (0, 1):
+                own, u, c, at = _merged(part, kind)
+                if kind == 0 and len(u):
+                    known = c > 0
+                    c = code_logs(u, levels(u[known], c[known], ORDER, NEAR, low.value)).astype(np.float32)
+                cuts = np.concatenate([[0], np.cumsum(own["size"].to_numpy())])
+                for k in range(0, own.num_rows, 500):
+                    few = own.slice(k, 500)
+                    y = [pack(c[at[i:j]]) for i, j in zip(cuts[k : k + few.num_rows], cuts[k + 1 : k + 1 + few.num_rows], strict=True)]
+                    yield pa.RecordBatch.from_arrays([few[x].combine_chunks() for x in ("to", "b", "kind", "size")] + [pa.array(y, pa.binary())], names=["to", "b", "kind", "size", "y"])
+        del table
+        trim()
+
+    return run
+
+
+def _vocabulary(batches):
     table = gathered(batches)
-    if table is None:
-        return
-    h, b, n = (table[c].to_numpy() for c in ("h", "b", "n"))
-    u, first, at = np.unique(h, return_index=True, return_inverse=True)
-    c = np.bincount(at, n, len(u)).astype(np.int64)
-    new = np.zeros(len(h), bool)
-    new[first] = c > 0
-    yield from as_batches(pa.table({"b": b, "h": h, "c": c[at], "new": new}))
+    if table is not None:
+        for to in np.unique(table["to"].to_numpy()):
+            _, _, n, _ = _merged(table.filter(pa.compute.equal(table["to"], int(to))), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())])], names=["v"])
 
 
-def _score(trie, ends: int):
+def _score(slots: list[int], ends: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        data, off = _lower(left)
-        _, _, first, h = words(data, off)
-        n = len(first) - 1
-        key = right["h"].to_numpy().view(U)
-        order = np.argsort(key)
-        count = right["c"].to_numpy()[order]
-        c = count[np.searchsorted(key[order], h)] if len(h) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(n), np.diff(first))
-        logs = np.bincount(row, np.log10(c + 1.0), n) + math.log10(ends + 1)
-        known = np.bincount(row, c > 0, n).astype(np.int64) + (ends > 0)
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held"], "n_tokens": np.diff(first) + 1, "n_known": known, "logs": logs, "score": trie.value.score(data, off)})
+        got = {}
+        for r in right.to_pylist():
+            got[r["kind"], r["to"]] = unpack(r["y"], r["size"], np.int64 if r["kind"] else np.float32)
+        out = {"doc_id": left["doc_id"], "held_out": left["held"]}
+        n = left.num_rows
+        for kind, u, part, at, first in asked(left, len(slots)):
+            answer = np.zeros(len(u), np.int64 if kind else np.float32)
+            by = np.argsort(part, kind="stable")
+            if len(u):
+                answer[by] = np.concatenate([got[kind, slots[p]] for p in np.unique(part)])
+            row = np.repeat(np.arange(n), np.diff(first))
+            if kind == 0:
+                score = np.bincount(row, answer[at], n)
+            else:
+                out["n_tokens"] = np.diff(first) + 1
+                out["n_known"] = np.bincount(row, answer[at] > 0, n).astype(np.int64) + (ends > 0)
+                out["logs"] = np.bincount(row, np.log10(answer + 1.0)[at], n) + math.log10(ends + 1)
+        return pa.table(out | {"score": score})
 
     return run
 
 
+def _slots(spark, n: int) -> list[int]:
+    """A value for each of n partitions that Spark deals to that partition alone, so that parts and blocks are dealt evenly."""
+    to = spark.range(32 * n, numPartitions=1).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).toArrow()["to"].to_numpy()
+    return np.unique(to, return_index=True)[1].tolist()
+
+
 def ppm_scores(docs: DataFrame) -> DataFrame:
     """Per row: held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     tune(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held")
-    trie, n_words, n_texts = train(docs.where(~held).select(F.col("text").cast("string").alias("text")))
-    dealt, n = bucketed(docs, held)
-    totals = dealt.mapInArrow(_words, "h long, b int, n long").repartition(n, "h").mapInArrow(_totals, "b int, h long, c long, new boolean")
-    vocab = totals.agg(F.coalesce(F.sum(F.col("new").cast("long")), F.lit(0)).alias("v")).scalar()
-    out = dealt.groupBy("b").cogroup(totals.groupBy("b")).applyInArrow(_score(spark.sparkContext.broadcast(trie), n_texts), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    low, n_words, n_texts = train_low(docs.where(~held).select(F.col("text").cast("string").alias("text")))
+    n = n_buckets(docs)
+    slots = _slots(spark, n)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held)
+    block = F.get(F.lit(slots), F.pmod(F.xxhash64("doc_id"), F.lit(len(slots))).cast("int"))
+    dealt = kept.withColumn("b", block.cast("int")).repartition(n, "b")
+    questions = dealt.mapInArrow(_ask(slots), "to int, b int, kind int, size int, x binary, n binary").repartition(n, "to")
+    answers = questions.mapInArrow(_answer(spark.sparkContext.broadcast(low)), "to int, b int, kind int, size int, y binary")
+    vocab = questions.mapInArrow(_vocabulary, "v long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v")).scalar()
+    out = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_score(slots, n_texts), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     total = n_words + n_texts
     denominator = F.log10((F.lit(total) + vocab + F.lit(int(n_texts > 0)) + 1).cast("double"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * denominator).alias("base_score"), "score")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -60,6 +61,20 @@ def test_ppm(spark, texts):  # noqa: F811
     assert P.ppm_scores(docs_of(spark, some).where("doc_id > 9999")).count() == 0
 
 
+def test_ppm_keeps_rare_contexts(spark):
+    """Over 262,144 symbols, so contexts seen once or twice are under 1/131072 of them; they count like any other."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefgh\u00e9") for _ in range(r.randrange(2, 9))) for _ in range(5000)]
+    some = [(i, " ".join(r.choice(vocab) for _ in range(450))) for i in range(120)]
+    held = [i for i, _ in some if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [t for i, t in some if i not in held]
+    assert sum(map(len, train)) > 2 * 131072
+    got = {x.doc_id: x.score for x in P.ppm_scores(docs_of(spark, some)).collect()}
+    assert len(got) == len(some) and len(held) > 3
+    for i in held[:3] + [i for i, _ in some if i not in held][:2]:
+        assert abs(got[i] - slow_ppm(train, some[i][1])) < 1e-2
+
+
 def test_url_rules_and_edges(spark):
     cases = [
         ("https://a.Example.ORG/es/x?y#z", "a.example.org", "/es/x", "example.org/es/", "block"),
