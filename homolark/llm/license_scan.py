@@ -3,9 +3,11 @@
 Paragraphs (non-blank lines) are classified by multinomial logistic regression over hashed word 1- to 3-grams into licence
 families and an unknown class. It is trained here: positives are the families' templates with drawn-in variations;
 negatives are a bounded sample of the corpus' own paragraphs that hold no template: of evenly spread ones (some 400 from
-each batch that a task reads) the `NEGATIVES` with the lowest hashes, a documented bound. Probabilities are calibrated by a temperature fitted on held-out paragraphs, and a family needs
-`CONFIDENT`. Then a template of that family must agree: five-word shingles (all words if fewer) of the template found in the
-paragraph at `CONFIRM` or more. A long paragraph is classified by windows of `SPAN` words with half overlap.
+each batch that a task reads) the `NEGATIVES` with the lowest hashes, a documented bound. Probabilities are calibrated by a temperature fitted on held-out paragraphs, and a window is
+searched if the families together reach `CONFIDENT` (notices of two families share the probability). Then templates decide, each family
+for itself: five-word shingles (all words if fewer) of a template found in one place at `CONFIRM` or more. A long paragraph is
+classified by windows of `SPAN` words with half overlap. Each place is a notice, so a line may hold several; `probability` is
+that of the families together, in the surest window that the place touches.
 
 Output has a row per document. Null text has no paragraphs. Rows are judged independently.
 """
@@ -91,6 +93,12 @@ class Paragraphs:
         self.of_row = np.bincount(row[w0], minlength=len(off) - 1) if len(w0) else np.zeros(len(off) - 1, np.int64)
         self.features = grams(h, np.repeat(w0 + n, n)) if len(s) else np.zeros((0, 3), np.int64)
 
+    def region(self, i: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, and where in the data they start and end, of text(i)."""
+        a, b = max(self.begin[i], self.lo[i] - LONGEST), min(self.end[i], self.hi[i] + LONGEST)
+        found = list(_WORD.finditer(self.data[self.starts[a] : self.ends[b - 1]].tobytes().decode("latin-1").lower()))  # a character a byte
+        return [m[0] for m in found], *(self.starts[a] + np.array([getattr(m, x)() for m in found], np.int64) for x in ("start", "end"))
+
     def text(self, i: int) -> str:
         """A window's paragraph, as far as a template that touches the window may reach."""
         a, b = max(self.begin[i], self.lo[i] - LONGEST), min(self.end[i], self.hi[i] + LONGEST)
@@ -174,6 +182,39 @@ def confirms(text: str, family: str) -> float:
     return best
 
 
+def places(w: list[str]) -> list[tuple[str, int, int, float]]:
+    """(family, first word, word after the last, share of shingles) wherever a template agrees; places of a family may overlap."""
+    at: dict[int, list] = {}
+    out = []
+    for family, templates in SHINGLES.items():
+        for t, need in templates:
+            n = len(next(iter(need)))
+            if n not in at:
+                own = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+                at[n] = [own, set(own)]
+            own, distinct = at[n]
+            if len(need & distinct) < CONFIRM * len(need):
+                continue
+            reach = len(plain(t)) + 5
+            hits = [i for i, x in enumerate(own) if x in need]
+            k = 0
+            while k < len(hits):
+                span = [i for i in hits[k:] if i + n <= hits[k] + reach]
+                share = len({own[i] for i in span}) / len(need)
+                if share < CONFIRM:
+                    k += 1
+                    continue
+                seen: set = set()
+                for j, i in enumerate(span):  # a shingle that comes again begins another place
+                    if own[i] in seen and len(seen) >= CONFIRM * len(need):
+                        span = span[:j]
+                        break
+                    seen.add(own[i])
+                out.append((family, span[0], span[-1] + n, len(seen) / len(need)))
+                k += len(span)
+    return out
+
+
 def variations(seed: int = 11, each: int = 300) -> tuple[list[str], list[int]]:
     """Templates with words dropped, doubled or drawn in around them."""
     r = random.Random(seed)
@@ -211,20 +252,35 @@ def train(texts: DataFrame, negatives: int = NEGATIVES) -> Classifier:
     return model
 
 
+def _notices(found: dict[tuple[int, str], list]) -> list[dict]:
+    """Places of a family that overlap are one notice."""
+    out = []
+    for (line, family), spans in found.items():
+        last = -1
+        for start, end, probability, share in sorted(spans):
+            if start < last:
+                m = out[-1]
+                m["probability"], m["agreement"] = max(m["probability"], probability), max(m["agreement"], share)
+            else:
+                out.append({"line": line, "at": start, "family": family, "probability": probability, "agreement": share})
+            last = max(last, end)
+    return [{k: v for k, v in m.items() if k != "at"} for m in sorted(out, key=lambda m: (m["line"], m["at"], m["family"]))]
+
+
 def _scan(model):
     def run(batches):
         for x in batches:
             data, off = utf8(x.column(1))
             p = Paragraphs(data, off)
             prob = model.value.probabilities(p)
-            hit = np.flatnonzero(prob[:, 1:].max(1) >= CONFIDENT) if len(prob) else np.zeros(0, int)
+            sure = 1 - prob[:, 0] if len(prob) else np.zeros(0)
             found: dict[int, dict] = {}
-            for i in hit.tolist():
-                family = FAMILIES[1 + int(prob[i, 1:].argmax())]
-                share = confirms(p.text(i), family)
-                if share >= CONFIRM:
-                    found.setdefault(int(p.row[i]), {}).setdefault(int(p.line[i]), {"line": int(p.line[i]), "family": family, "probability": float(prob[i].max()), "agreement": share})
-            marks = [sorted(found.get(r, {}).values(), key=lambda m: m["line"]) for r in range(x.num_rows)]
+            for i in np.flatnonzero(sure >= CONFIDENT).tolist():
+                w, start, end = p.region(i)
+                for family, u, v, share in places(w):
+                    if start[u] < p.ends[p.hi[i] - 1] and end[v - 1] > p.starts[p.lo[i]]:
+                        found.setdefault(int(p.row[i]), {}).setdefault((int(p.line[i]), family), []).append((int(start[u]), int(end[v - 1]), float(sure[i]), share))
+            marks = [_notices(found.get(r, {})) for r in range(x.num_rows)]
             struct = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("agreement", pa.float64())]))
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(p.of_row.astype(np.int64)), pa.array(marks, struct)], names=["doc_id", "n_paragraphs", "notices"])
 
@@ -232,7 +288,7 @@ def _scan(model):
 
 
 def license_scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
-    """Per row: n_paragraphs, notices (line, family, probability, agreement) and families."""
+    """Per row: n_paragraphs, notices (line, family, probability, agreement; in order of place) and families."""
     spark = docs.sparkSession
     tune(spark)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

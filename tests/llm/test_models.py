@@ -116,3 +116,18 @@ def test_licences(spark, texts):  # noqa: F811
     assert L.license_scan(docs.where("doc_id = 9999")).count() == 0
     assert L.Paragraphs(np.zeros(0, np.uint8), np.zeros(1, np.int64)).of_row.tolist() == []
     assert isinstance(L.utf8(pa.array(["a"]))[0], np.ndarray) and F is not None
+
+
+def test_several_licences_in_a_line(spark, texts):  # noqa: F811
+    apache, mit, rights = L.TEMPLATES["Apache-2.0"][1], L.TEMPLATES["MIT"][0], L.TEMPLATES["All-rights-reserved"][0]
+    body = "some words of a body that says nothing at all " * 20
+    cases = {
+        700: (f"{body}{apache} {body}{mit} {body}", ["Apache-2.0", "MIT"]),
+        701: (f"{mit} {rights}", ["MIT", "All-rights-reserved"]),
+        702: (f"{body}\n{body}{mit} {body}{mit} {body}", ["MIT", "MIT"]),
+        703: (f"\u00dc\u00e9 {rights} {apache} {L.TEMPLATES['BSD-3-Clause'][0]}", ["All-rights-reserved", "Apache-2.0", "BSD-3-Clause"]),
+    }
+    got = {r.doc_id: r for r in L.license_scan(docs_of(spark, texts + [(i, t) for i, (t, _) in cases.items()])).collect()}
+    for i, (_, want) in cases.items():
+        assert [n.family for n in got[i].notices] == want and got[i].families == sorted(set(want))
+        assert {n.line for n in got[i].notices} == {int(i == 702)} and all(n.agreement >= L.CONFIRM for n in got[i].notices)
