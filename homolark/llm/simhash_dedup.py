@@ -12,8 +12,8 @@ than it has members. Groups of a key are checked in blocks of centres; those ove
 by balls again, this time in the other half, which is linear in the group. A group holds distinct fingerprints that agree in 31 of 32 bits,
 not documents: copies have been collapsed before.
 
-Null or wordless text has fingerprint 0 and is linked like any other. Null doc_id: the row is kept, and is no
-candidate for the smallest doc_id. Rows with the same doc_id are fingerprinted separately.
+Null or wordless text has fingerprint 0 and is linked like any other. A null doc_id is no candidate for the smallest
+doc_id. Rows with the same doc_id are fingerprinted separately. Dedup tells rows apart by doc_id and a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, U, as_batches, connected_components, cut, gathered, n_buckets, roots, tune
 
 RADIUS = 3
 HUB = 1 << 24
+BROADCAST_ROWS = 100_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -47,13 +48,15 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches):
     for x in batches:
         fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in x.column(1).cast(pa.binary())), U, x.num_rows)
-        yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fp.view(np.int64)), *x.columns[2:]], names=["doc_id", "fp", *x.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long), one row per row."""
+def fingerprints(docs: DataFrame, **keys: Column) -> DataFrame:
+    """(doc_id, fp long, keys as long), one row per row."""
     tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    more = [c.cast("long").alias(k) for k, c in keys.items()]
+    schema = ", ".join(f"{k} long" for k in ("doc_id", "fp", *keys))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(_fingerprints, schema)
 
 
 def _variants(batches):
@@ -146,27 +149,53 @@ def _links(radius: int):
     return run
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long, component_id), one row per row of `docs`."""
-    fps = cut(fingerprints(docs))
+def _named(fps: DataFrame, n: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    n = n_buckets(docs)
     edges = distinct.select("fp").repartition(n, "fp").mapInArrow(_variants, "key long, fp long, center boolean").repartition(n, "key").mapInArrow(_links(RADIUS), "a long, b long")
     nodes = distinct.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = nodes.join(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return nodes.join(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp long, component_id), one row per row of `docs`."""
+    fps = cut(fingerprints(docs))
+    return fps.join(_named(fps, n_buckets(docs)), "fp").select("doc_id", "fp", "component_id")
+
+
+def _few(df: DataFrame) -> tuple[int, DataFrame]:
+    """How many rows there are, up to one over BROADCAST_ROWS, and the rows, marked for broadcast if they are that few."""
+    n = df.limit(BROADCAST_ROWS + 1).count()
+    return n, F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """Rows of `docs` with one of each component left: the one with the smallest doc_id; of rows that share it, the first by text.
 
-    Rows without a doc_id stay where their component names no doc_id.
+    A component without any doc_id keeps its first row by text. Of rows with the same doc_id and text any one stays.
     """
-    keep = simhash_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    cols = docs.columns
-    same = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    one = docs.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
-    return one.join(keep.withColumnRenamed("doc_id", "__keep"), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").select(*cols)
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    fps = cut(fingerprints(docs, th=F.xxhash64(text)))
+    named = _named(fps, n_buckets(docs)).withColumnRenamed("fp", "__fp")
+    rows = fps.groupBy("doc_id", "fp", "th").agg(F.count("*").alias("n"))
+    first = cut(rows.join(named, (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "doc_id", "th", "n"))
+    # a text has one fingerprint and so one root; most roots have one text left
+    picks = cut(first.groupBy("root").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.sum("n").alias("n")))
+    key = lambda df: df.select(F.coalesce("doc_id", F.lit(0)).alias("__d"), F.col("doc_id").isNull().alias("__z"), F.col("th").alias("__th"), *[c for c in df.columns if c not in ("doc_id", "th")])
+    keys = ["__d", "__z", "__th"]
+    own = docs.withColumns({"__d": F.coalesce(doc_id, F.lit(0)), "__z": doc_id.isNull(), "__th": F.xxhash64(text)})
+    keep = key(picks.where("k = 1").select("doc_id", "th", "n"))
+    tied = key(first.join(picks.where("k > 1").select("root"), "root"))
+    n, few = _few(tied)
+    if n:
+        low = own.select(*keys, text.alias("t")).join(few, keys).groupBy("root").agg(F.min(F.struct(F.col("t").isNotNull(), F.col("t"))).alias("m"))
+        chosen = low.select("root", F.xxhash64("m.t").alias("__th"))
+        keep = cut(keep.union(tied.join(chosen, ["root", "__th"]).select(*keep.columns)))
+    out = own.join(keep.where("n = 1").select(*keys), keys, "left_semi").select(*docs.columns)
+    n, few = _few(keep.where("n > 1").select(*keys))
+    if n:
+        out = out.union(own.join(few, keys, "left_semi").dropDuplicates(keys).select(*docs.columns))
+    return out
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:

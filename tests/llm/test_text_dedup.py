@@ -127,6 +127,20 @@ def test_simhash_brute_force(spark, texts):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({v for v in low.values() if v is not None})
 
 
+def test_simhash_keeps_one_row_a_component(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"u{r.randrange(10**6)}" for _ in range(60))
+    apart, shared, copied, clean = [text() for _ in range(4)], [text() for _ in range(3)], "a " + text(), "b " + text()
+    some = [(None, t) for t in apart + apart[:2]] + [(5, t) for t in shared] + [(1, copied), (7, copied), (7, clean), (7, clean)]
+    some += [(None, copied), (8, clean), (None, "\t"), (None, ""), (None, None), (9, "x y"), (9, "X Y")]
+    fps = {t: slow_fingerprint(t) for _, t in some if t}
+    near = {t: min(u for u in fps if (fps[u] ^ fps[t]).bit_count() <= 3) for t in fps}
+    assert near == {t: "X Y" if t == "x y" else t for t in fps}
+    want = [(None, t) for t in apart] + [(5, t) for t in shared] + [(1, copied), (7, clean), (None, None), (9, "X Y")]
+    got = simhash_dedup(docs_of(spark, some)).select("doc_id", "text")
+    assert rows(got) == sorted(want, key=str)
+
+
 def test_hubs_connect_what_pairs_connect():
     rng = np.random.default_rng(3)
     other = rng.integers(0, 1 << 32, 6, dtype=np.uint64)
