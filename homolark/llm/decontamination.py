@@ -5,7 +5,11 @@ rest is lower-cased words of letters and digits. Windows of `WINDOW` canonical w
 are hash-joined. Hits of one alignment (document place less item place) must fill slots consistently: equal values
 of the item stand for equal values of the document, else the windows with slots do not count. A document is
 contaminated by an item if `SHARE` of the item's distinct windows are found, so a question asked again with other numbers
-or names is caught. Items or texts shorter than a window match nothing.
+or names is caught.
+
+Whether a capitalised word that opens a sentence or quotation, or is all capitals, is a name cannot be told. So there are two
+views: it is a literal word in the first and a name in the second, on both sides. The second counts for items that the first
+does not find. Items shorter than a window are one whole window, which matches the same words and values only.
 
 The benchmark's windows are broadcast only if they are counted to be `BROADCAST_ROWS` or fewer; otherwise the same
 join shuffles. Documents are exploded to hashes and slot values, never to copies of the text, and only hits are shuffled.
@@ -22,51 +26,92 @@ WINDOW = 5
 SHARE = 0.5
 BROADCAST_ROWS = 500_000
 
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"  # private-use characters, blanked in input
+NUMBER, UNIT, NAME, OPEN = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use characters, blanked in input
+BOTH, LITERAL, NAMED = 0, 1, 2  # views that a window belongs to
 # fixed values: unit words
 UNITS = "percent|kilometers|kilometres|kilometer|kilometre|meters|metres|meter|metre|centimeters|miles|mile|feet|foot|inches|inch|kilograms|kilogram|grams|gram|pounds|pound|liters|litres|liter|litre|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|cent|euros|euro|km|cm|mm|kg|mg|ml|lb|lbs|ft|hr|hrs|min|sec|usd|eur|m|g|l|s|h"
 
 
 def tokens(text: Column) -> Column:
-    """Words in lower case; a slot's word is its type's mark followed by its value."""
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
+    """Words in lower case; a slot's word is its type's mark followed by its value, and what may be a name has a mark too."""
+    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME + OPEN, "    ")
     joined = F.regexp_replace(t, r"(?<=[0-9])[.,:](?=[0-9])", "_")
     number = F.regexp_replace(joined, r"(?<![\p{L}\p{N}_])([0-9][0-9_]*)", f"{NUMBER}$1")
     unit = F.regexp_replace(number, rf"({NUMBER}[0-9_]+ ?)(?i)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.when(t.rlike("[0-9]"), unit).otherwise(t)
     t = F.regexp_replace(t, r"(\p{Lu})(?<=[\p{L}\p{N},;] \p{Lu})(?=\p{Ll})", f"{NAME}$1")
-    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{NUMBER}-{NAME}]+"), "")
+    t = F.regexp_replace(t, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}_{NUMBER}-{NAME}]\p{{Lu}})", f"{OPEN}$1")
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{NUMBER}-{OPEN}]+"), "")
+
+
+def _mark(w: Column) -> Column:
+    return F.substring(w, 1, 1)
+
+
+def _word(w: Column) -> Column:
+    return F.when((w >= NUMBER) & (w < chr(ord(OPEN) + 1)), F.substring(w, 2, 1 << 30)).otherwise(w)
+
 
+def windows(df: DataFrame, text: str, *keys: str, short: list[int] | None = None) -> DataFrame:
+    """keys, pos, h (hash of the canonical window), slots (hashes of the values in it, null if it has none), view.
 
-def windows(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, pos, h (hash of the canonical window), slots (hashes of the values in it, null if it has none)."""
+    Of documents (`short` is given) also all windows of the lengths in `short`; of items, the whole item if it is shorter than a window.
+    """
     some = df.select(*keys, tokens(F.col(text)).alias("__w"))
-    mark = lambda w: F.substring(w, 1, 1)
-    is_slot = lambda w: mark(w).isin(NUMBER, UNIT, NAME)
-    slotted = F.exists("__w", is_slot)
-    canon = F.when(slotted, F.transform("__w", lambda w: F.xxhash64(F.when(is_slot(w), mark(w)).otherwise(w)))).otherwise(F.transform("__w", lambda w: F.xxhash64(w)))
-    value = F.when(slotted, F.transform("__w", lambda w: F.when(is_slot(w), F.xxhash64(w))))
-    some = some.withColumns({"__c": canon, "__v": value}).drop("__w")
-    hashed = lambda i: F.xxhash64(*[F.get(F.col("__c"), i + j) for j in range(WINDOW)])
+    is_slot = lambda w: _mark(w).isin(NUMBER, UNIT, NAME)
+    is_open = lambda w: _mark(w) == OPEN
+    slotted, opened = F.exists("__w", is_slot), F.exists("__w", is_open)
+    literal = lambda w: F.when(is_slot(w), _mark(w)).when(is_open(w), F.substring(w, 2, 1 << 30)).otherwise(w)
+    named = lambda w: F.when(is_slot(w), _mark(w)).when(is_open(w), F.lit(NAME)).otherwise(w)
+    value = lambda w: F.when(is_slot(w), F.xxhash64(w)).when(is_open(w), F.xxhash64(F.concat(F.lit(NAME), F.substring(w, 2, 1 << 30))))
+    arrays = {
+        "__c": F.transform("__w", lambda w: F.xxhash64(literal(w))),
+        "__v": F.when(slotted, F.transform("__w", lambda w: F.when(is_slot(w), F.xxhash64(w)))),
+        "__n": F.when(opened, F.transform("__w", lambda w: F.xxhash64(named(w)))),
+        "__u": F.when(opened, F.transform("__w", value)),
+        "__o": F.when(opened, F.transform("__w", is_open)),
+        "__s": F.transform("__w", lambda w: F.xxhash64(_word(w))) if short is None or short else F.lit(None).cast("array<bigint>"),
+    }
+    some = some.withColumns(arrays).drop("__w")
+    hashed = lambda c, i, n=WINDOW: F.xxhash64(*[F.get(F.col(c), i + j) for j in range(n)])
     none = F.lit(None).cast("array<bigint>")
-    slots = lambda i: F.filter(F.slice("__v", i + 1, WINDOW), lambda x: x.isNotNull())
-    at = F.sequence(F.lit(0), F.size("__c") - WINDOW)
-    plain = F.transform(at, lambda i: F.struct(hashed(i).alias("h"), none.alias("slots")))
-    full = F.transform(at, lambda i: F.struct(hashed(i).alias("h"), F.when(F.size(slots(i)) > 0, slots(i)).alias("slots")))
-    each = F.when(F.size("__c") < WINDOW, None).when(F.col("__v").isNull(), plain).otherwise(full)
-    return some.select(*keys, F.posexplode(each)).select(*keys, "pos", F.col("col.h").alias("h"), F.col("col.slots").alias("slots"))
+    filled = lambda c, i: F.filter(F.slice(c, i + 1, WINDOW), lambda x: x.isNotNull())
+    row = lambda i, h, slots, view: F.struct(i.alias("pos"), h.alias("h"), slots.alias("slots"), view.alias("view"))
+
+    def has_open(i: Column) -> Column:
+        out = F.get("__o", i)
+        for j in range(1, WINDOW):
+            out = out | F.get("__o", i + j)
+        return out
+
+    size = F.size("__c")
+    at = F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(F.array().cast("array<int>"))
+    view = lambda i: F.when(F.col("__o").isNull(), BOTH).when(has_open(i), LITERAL).otherwise(BOTH)
+    slots = lambda i: F.when(F.size(filled("__v", i)) > 0, filled("__v", i))
+    plain = F.transform(at, lambda i: row(i, hashed("__c", i), none, view(i)))
+    full = F.transform(at, lambda i: row(i, hashed("__c", i), slots(i), view(i)))
+    each = [F.when(F.col("__v").isNull(), plain).otherwise(full)]
+    empty = F.slice(plain, 1, 0)
+    each.append(F.when(F.col("__o").isNull(), empty).otherwise(F.transform(F.filter(at, has_open), lambda i: row(i, hashed("__n", i), filled("__u", i), F.lit(NAMED)))))
+    whole = lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda i: row(i, F.xxhash64(F.lit(n), hashed("__s", i, n)), none, F.lit(BOTH)))
+    for n in range(1, WINDOW) if short is None else short:
+        each.append(F.when(size == n if short is None else size >= n, whole(n)).otherwise(empty))
+    return some.select(*keys, F.explode(F.concat(*each)).alias("__x")).select(*keys, "__x.*")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, refilled, __t): an item found in a document; refilled: some slot has another value. __t: hash of the text."""
     bench = windows(items.select(F.col("item_id").alias("__item"), F.col("text").cast("string").alias("__y")), "__y", "__item")
-    bench = bench.select("__item", F.col("pos").alias("__ipos"), "h", F.col("slots").alias("__islots"))
-    sizes = bench.groupBy("__item").agg(F.count_distinct("h").alias("n_windows"))
+    bench = bench.select("__item", F.col("pos").alias("__ipos"), "h", F.col("slots").alias("__islots"), F.col("view").alias("__iview"))
+    views = lambda v: F.when(v == BOTH, F.array(F.lit(LITERAL), F.lit(NAMED))).otherwise(F.array(v))
+    sizes = bench.select("__item", "h", F.explode(views(F.col("__iview"))).alias("__view")).groupBy("__item", "__view").agg(F.count_distinct("h").alias("n_windows"))
+    length = F.size(tokens(F.col("text").cast("string")))
+    short = [r.n for r in items.select(length.alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect()]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = windows(docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(text).alias("__t"), text.alias("__x")), "__x", "__doc", "__t")
+    own = windows(docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(text).alias("__t"), text.alias("__x")), "__x", "__doc", "__t", short=sorted(short))
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = own.join(F.broadcast(bench) if small else bench, "h")
-    diagonal = [F.col("__doc"), F.col("__t"), F.col("__item"), (F.col("pos") - F.col("__ipos")).alias("__d")]
+    hits = own.join(F.broadcast(bench) if small else bench, "h").withColumn("__view", F.explode(F.array_intersect(views(F.col("view")), views(F.col("__iview")))))
+    diagonal = [F.col("__doc"), F.col("__t"), F.col("__item"), F.col("__view"), (F.col("pos") - F.col("__ipos")).alias("__d")]
     pairs = F.arrays_zip(F.col("__islots").alias("a"), F.col("slots").alias("b"))
     lined = hits.groupBy(*diagonal).agg(
         F.collect_set(F.when(F.col("slots").isNull(), F.col("h"))).alias("plain"),  # at most the item's windows
@@ -77,10 +122,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     consistent = F.size("pairs") == firsts("a")
     lined = lined.withColumn("hs", F.when(consistent, F.concat("plain", "filled")).otherwise(F.col("plain")))
     changed = consistent & F.exists("pairs", lambda p: p["a"] != p["b"])
-    found = lined.select("__doc", "__t", "__item", changed.alias("changed"), F.explode("hs").alias("h"))
-    n = found.groupBy("__doc", "__t", "__item").agg(F.count_distinct("h").alias("n_matched"), F.max(F.col("changed").cast("int")).alias("changed"))
-    out = n.join(F.broadcast(sizes) if small else sizes, n["__item"].eqNullSafe(sizes["__item"])).where(F.col("n_matched") >= SHARE * F.col("n_windows"))
-    return out.select(F.col("__doc").alias("doc_id"), n["__item"].alias("item_id"), "n_matched", "n_windows", (F.col("changed") == 1).alias("refilled"), "__t")
+    found = lined.select("__doc", "__t", "__item", "__view", changed.alias("changed"), F.explode("hs").alias("h"))
+    n = found.groupBy("__doc", "__t", "__item", "__view").agg(F.count_distinct("h").alias("n_matched"), F.max(F.col("changed").cast("int")).alias("changed"))
+    out = n.join(F.broadcast(sizes) if small else sizes, n["__item"].eqNullSafe(sizes["__item"]) & (n["__view"] == sizes["__view"])).where(F.col("n_matched") >= SHARE * F.col("n_windows"))
+    first = out.groupBy("__doc", "__t", n["__item"]).agg(F.min(F.struct(n["__view"], "n_matched", "n_windows", (F.col("changed") == 1).alias("refilled"))).alias("__m"))
+    return first.select(F.col("__doc").alias("doc_id"), F.col("__item").alias("item_id"), "__m.n_matched", "__m.n_windows", "__m.refilled", "__t")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

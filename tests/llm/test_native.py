@@ -72,6 +72,22 @@ def test_decontamination(spark, texts):  # noqa: F811
     assert D.contaminated(docs, items.where("item_id = 99")).count() == D.contaminated(docs.where("doc_id = 9999"), items).count() == 0
 
 
+def test_names_that_open_and_short_items(spark):
+    item = "Alice has 5 apples. Bob gives her 3 more."
+    each = "Alice bakes 5 fresh loaves for the market. Bob sells 3 loaves there before noon today. Alice wants to know how many remain unsold."
+    items = spark.createDataFrame([(1, item), (2, each), (3, "Mix 5 g salt"), (4, "Yes")], "item_id long, text string")
+    swap = lambda t, a, b: t.replace("Alice", a).replace("Bob", b)
+    some = [
+        (1, swap(item, "Carol", "Dave")), (2, swap(item, "CAROL", "Dave") + " How many?"), (3, "He said so, and Carol has 5 apples. \u201cDave gives her 3 more.\u201d"),
+        (4, swap(each, "Carol", "Dave")), (5, swap(each, "Carol", "Dave").replace("Carol wants", "Erin wants")),
+        (6, "now mix 5 g salt in"), (7, "now mix 6 g salt in"), (8, "oh yes it is"), (9, "yesterday"), (10, item),
+        (11, "Nobody has 5 pears. Then we give them away for 3 others."),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in D.contaminated(docs_of(spark, some), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 3), (8, 4), (10, 1)}
+    assert got[1, 1].refilled and got[4, 2].refilled and not got[10, 1].refilled and not got[6, 3].refilled
+
+
 def test_quality_edges(spark, texts):  # noqa: F811
     r = random.Random(4)
     boiler = "Subscribe  to our\tnewsletter for more"
