@@ -6,16 +6,20 @@ of fewer than `MIN_WORDS` words go only for equal words, which keeps one edit at
 earliest line by (doc_id, line number) stays, and lines without words always stay.
 
 Steps, all on hashes, one row per hash and block:
-1. equal lines are found by hash; a line that could have a neighbour is found by its halves, since two lines
-   within one edit share their first or their last half (keys for their own length and for one less);
+1. equal lines are told by 128 bits, two independent non-linear hashes of the words in order; a line that could have a neighbour is
+   found by its halves, since two lines within one edit share their first or their last half (keys for their own length and for one less);
 2. lines with a shared half emit their deletion neighbourhood: the whole line and the line without each word, keyed
    by the hash of what is left and carrying the position. Equal keys at equal positions are replacements; a key that
    equals a whole line is an insertion or deletion;
 3. each match to the earliest line is verified: the source's words are fetched once per asking block, and the word
    edit distance is computed.
 
-Null doc_id comes first in order. Rows that share a doc_id count as one document, texts in text order. Null text
-has no lines and is returned as null. A line's earliest neighbour may itself go; it is a repeat all the same.
+Keys of parts are sums of word hashes, each times a fixed random odd number that belongs to its place counted from the
+line's start or end; they propose candidates only.
+
+Rows with a null doc_id come first, in order of a hash of the text (ids below -2^62 share their order), each a document. Rows that share a doc_id count as one document, texts in text order. Null text
+has no lines and is returned as null. A line's earliest neighbour may itself go; it is a repeat all the same. Texts and lines of any
+length are handled whole. An empty table gives an empty result. Further columns come back in a struct, so their names may clash.
 """
 
 from __future__ import annotations
@@ -25,30 +29,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NULL_ID, U, as_batches, bucketed, gathered, longs, member, mix, tune, utf8, words
+from .common import FIRST_ID, LOWER, U, as_batches, bucketed, fold, gathered, longs, member, mix, on_blocks, on_key, trim, trimmed, tune, utf8, words
 
 MIN_WORDS = 5
 
-KEYS = "key long, kind int, lh long, b int, doc long, line int"
-REPLY = "b int, kind int, lh long, doc long"
+KEYS = "key long, kind int, lh long, b int, doc long, line int"  # lh: the line's hash; for kind 0 the key is that and lh its second hash
+REPLY = "b int, kind int, lh long, lv long, doc long"
 VARIANTS = "key long, pos int, b int, doc long, line int, sb int, sdoc long, sline int"
 MATCH = "b int, doc long, line int, sb int, sdoc long, sline int"
-FINAL = "b int, kind int, lh long, doc long, line int, sdoc long, sline int, words string"
+FINAL = "b int, kind int, lh long, lv long, doc long, line int, sdoc long, sline int, words string"
 RESULT = "doc_id long, n_lines long, n_removed long, kept_text string, removed array<struct<line:int,src_doc:long,src_line:int>>"
 
-_Q = 0xA0761D6478BD642F
-_QI = pow(_Q, -1, 1 << 64)
+_factors = np.zeros(0, U)
 
 
-def _geometric(q: int, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(max(1, n), q, U))])
+def factors(n: int) -> np.ndarray:
+    """Odd random numbers of places 0 to n - 1."""
+    global _factors
+    if len(_factors) < n:
+        _factors = mix(np.arange(1, max(n, 4096) + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
+    return _factors
 
 
 class Lines:
-    """A block's lines in (doc_id, line) order. pre: running sums of word hash times a power of the word's place in its line."""
+    """A block's lines in (doc_id, line) order.
+
+    lh, lv: two hashes of a whole line. pre, moved, back: running sums of word hash times the number of the word's place, of the place
+    before it, and of its place from the line's end.
+    """
 
     def __init__(self, table: pa.Table):
-        ids = longs(table["doc_id"])
+        ids = longs(table["ord"])
         order = np.argsort(ids, kind="stable")
         if (np.diff(ids[order]) == 0).any():
             text = table["text"]
@@ -57,7 +68,7 @@ class Lines:
         self.ids = ids[order]
         raw, self.off = utf8(self.table["text"])
         self.raw = raw
-        self.starts, self.ends, self.first, h = words(LOWER[raw] if len(raw) else raw, self.off)
+        self.starts, self.ends, self.first, h, check = words(LOWER[raw] if len(raw) else raw, self.off, 2)
         self.nl = np.flatnonzero(raw == 10)
         row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         # a text of k line feeds has k + 1 lines
@@ -74,26 +85,33 @@ class Lines:
         self.doc = self.ids[self.row]
         base = np.searchsorted(self.ids, self.ids)
         self.line = (self.at - self.line0[base[self.row]]).astype(np.int32)
-        longest = int(self.n.max()) if len(self.n) else 0
-        self.q, self.qi = _geometric(_Q, longest + 1), _geometric(_QI, longest + 1)
+        self.lh, self.lv = (fold(x, self.n) for x in (h, check)) if len(self.n) else (h, check)
+        f = factors(int(self.n.max()) + 1 if len(self.n) else 1)
         place = np.arange(len(at)) - np.repeat(self.w0, self.n)
-        with np.errstate(over="ignore"):
-            self.pre = np.concatenate([np.zeros(1, U), np.cumsum(h * self.q[place])])
-
-    def part(self, i: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of words a to b of lines i."""
+        sums = lambda x: np.concatenate([np.zeros(1, U), np.cumsum(x)])
+        self.pre, self.moved, self.rear = sums(h * f[place]), sums(h * f[np.maximum(place - 1, 0)]), sums(h * f[np.repeat(self.n, self.n) - 1 - place])
+
+    def distinct(self) -> np.ndarray:
+        """Indexes of the first of each set of equal lines, in order of hash."""
+        if not len(self.lh):
+            return np.zeros(0, np.int64)
+        order = np.lexsort((self.lv, self.lh))  # stable: the earliest of equal lines comes first
+        return order[_heads(self.lh[order], self.lv[order]) == np.arange(len(order))]
+
+    def front(self, i: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Key of the first m words of lines i."""
         w = self.w0[i]
-        return mix((self.pre[w + b] - self.pre[w + a]) * self.qi[a] + (b - a).astype(U) * U(0x9FB21C651E98DF25))
+        return mix(self.pre[w + m] - self.pre[w] + (2 * m).astype(U) * U(0x9FB21C651E98DF25))
 
-    def whole(self) -> np.ndarray:
-        return self.part(np.arange(len(self.n)), np.zeros_like(self.n), self.n)
+    def back(self, i: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Key of the last m words of lines i."""
+        z = self.w0[i] + self.n[i]
+        return mix(self.rear[z] - self.rear[z - m] + (2 * m + 1).astype(U) * U(0x9FB21C651E98DF25))
 
     def without(self, i: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Hash of lines i without word k."""
+        """Key of lines i without word k; that of a whole line is `front` of all its words."""
         w, n = self.w0[i], self.n[i]
-        left = self.pre[w + k] - self.pre[w]
-        right = (self.pre[w + n] - self.pre[w + k + 1]) * self.qi[1]
-        return mix(left + right + (n - 1).astype(U) * U(0x9FB21C651E98DF25))
+        return mix(self.pre[w + k] - self.pre[w] + self.moved[w + n] - self.moved[w + k + 1] + (2 * (n - 1)).astype(U) * U(0x9FB21C651E98DF25))
 
     def words(self, i: int) -> bytes:
         a, b = self.w0[i], self.w0[i] + self.n[i] - 1
@@ -108,7 +126,7 @@ class Lines:
 
 def _only(table: pa.Table, docs: np.ndarray) -> pa.Table:
     """Rows of these documents."""
-    return table.filter(pa.array(np.isin(longs(table["doc_id"]), docs)))
+    return table.filter(pa.array(np.isin(longs(table["ord"]), docs)))
 
 
 def _keys(batches):
@@ -117,19 +135,21 @@ def _keys(batches):
         return
     for b in np.unique(table["b"].to_numpy()):
         x = Lines(table.filter(pa.compute.equal(table["b"], int(b))))
-        lh, i = np.unique(x.whole(), return_index=True)
-        key, kind, own = [lh], [np.zeros(len(lh), np.int32)], [np.arange(len(lh))]
+        i = x.distinct()
+        lh = x.lh[i]
+        key, kind, own, second = [lh], [np.zeros(len(i), np.int32)], [np.arange(len(i))], [x.lv[i]]
         for less in (0, 1):
             o = np.flatnonzero(x.n[i] - less >= MIN_WORDS)
-            j = i[o]
-            t = x.n[j] - less
-            half = t // 2
-            for side, (a, z) in enumerate(((np.zeros_like(half), half), (x.n[j] - (t - half), x.n[j]))):
-                key.append(mix(x.part(j, a, z) + (2 * t + side).astype(U) * U(0x8EBC6AF09C88C6E3)))
+            t = x.n[i[o]] - less
+            for side, half in ((x.front, t // 2), (x.back, t - t // 2)):
+                key.append(mix(side(i[o], half) + t.astype(U) * U(0x8EBC6AF09C88C6E3)))
                 kind.append(np.ones(len(o), np.int32))
                 own.append(o)
+                second.append(lh[o])
         o = np.concatenate(own)
-        yield from as_batches(pa.table({"key": np.concatenate(key).view(np.int64), "kind": np.concatenate(kind), "lh": lh[o].view(np.int64), "b": np.full(len(o), b, np.int32), "doc": x.doc[i][o], "line": x.line[i][o]}))
+        yield from as_batches(pa.table({"key": np.concatenate(key).view(np.int64), "kind": np.concatenate(kind), "lh": np.concatenate(second).view(np.int64), "b": np.full(len(o), b, np.int32), "doc": x.doc[i][o], "line": x.line[i][o]}), rest=False)
+    del table, x
+    trim()
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
@@ -146,8 +166,8 @@ def _meet(batches):
         return
     key, kind, lh, b, doc, line = (table[c].to_numpy() for c in ("key", "kind", "lh", "b", "doc", "line"))
     e = np.flatnonzero(kind == 0)
-    e = e[np.lexsort((line[e], doc[e], key[e]))]
-    e = e[_heads(key[e]) != np.arange(len(e))]
+    e = e[np.lexsort((line[e], doc[e], lh[e], key[e]))]
+    e = e[_heads(key[e], lh[e]) != np.arange(len(e))]
     s = np.flatnonzero(kind == 1)
     s = s[np.lexsort((lh[s], key[s]))]
     if len(s):
@@ -155,22 +175,43 @@ def _meet(batches):
         differs = lh[s] != lh[s][head]
         s = s[np.isin(head, head[differs])]
     at = np.concatenate([e, s])
-    yield from as_batches(pa.table({"b": b[at], "kind": kind[at], "lh": lh[at], "doc": doc[at]}))
-
-
+    whole = kind[at] == 0
+    yield from as_batches(pa.table({"b": b[at], "kind": kind[at], "lh": np.where(whole, key[at], lh[at]), "lv": np.where(whole, lh[at], 0), "doc": doc[at]}))
+
+
+def _equal(x: Lines, i: np.ndarray, right: pa.Table) -> np.ndarray:
+    """Which of lines i equal an earlier one elsewhere, by both hashes of replies of kind 0."""
+    right = right.filter(pa.compute.equal(right["kind"], 0))
+    lh, lv = (right[c].to_numpy().view(U) for c in ("lh", "lv"))
+    order = np.lexsort((lv, lh))
+    lh, lv = lh[order], lv[order]
+    if not len(lh):
+        return np.zeros(len(i), bool)
+    out = np.zeros(len(i), bool)
+    may = np.flatnonzero(member(x.lh[i], lh))
+    at = np.searchsorted(lh, x.lh[i[may]])
+    while len(may):  # lines of equal first hash stand next to each other
+        hit = lv[at] == x.lv[i[may]]
+        out[may[hit]] = True
+        left = ~hit & (at + 1 < len(lh)) & (lh[np.minimum(at + 1, len(lh) - 1)] == x.lh[i[may]])
+        may, at = may[left], at[left] + 1
+    return out
+
+
+@trimmed
 def _variants(left: pa.Table, right: pa.Table) -> pa.Table:
     none = {"key": pa.array([], pa.int64()), "pos": pa.array([], pa.int32()), "b": pa.array([], pa.int32()), "doc": pa.array([], pa.int64()), "line": pa.array([], pa.int32()), "sb": pa.array([], pa.int32()), "sdoc": pa.array([], pa.int64()), "sline": pa.array([], pa.int32())}
     if not left.num_rows or not right.num_rows:
         return pa.table(none)
     kind, asked = right["kind"].to_numpy(), right["lh"].to_numpy().view(U)
     x = Lines(_only(left, right["doc"].to_numpy()[kind == 1]))
-    lh, i = np.unique(x.whole(), return_index=True)
-    i = np.sort(i[member(lh, np.unique(asked[kind == 1])) & ~member(lh, np.unique(asked[kind == 0]))])
+    i = x.distinct()
+    i = np.sort(i[member(x.lh[i], np.unique(asked[kind == 1])) & ~_equal(x, i, right)])
     each = np.repeat(i, x.n[i])
     place = np.arange(len(each)) - np.repeat(np.cumsum(x.n[i]) - x.n[i], x.n[i])
     who = np.concatenate([i, each])
     pos = np.concatenate([np.full(len(i), -1), place]).astype(np.int32)
-    key = np.concatenate([x.whole()[i], x.without(each, place)]).view(np.int64)
+    key = np.concatenate([x.front(i, x.n[i]), x.without(each, place)]).view(np.int64)
     order = np.lexsort((who, pos, key))
     who, pos, key = who[order], pos[order], key[order]
     head = _heads(key, pos) if len(key) else np.zeros(0, np.int64)
@@ -217,6 +258,7 @@ def _matches(batches):
     yield from as_batches(pa.table({"b": b[d], "doc": doc[d], "line": line[d], "sb": b[s], "sdoc": doc[s], "sline": line[s]}))
 
 
+@trimmed
 def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return pa.table({"b": pa.array([], pa.int32()), "sdoc": pa.array([], pa.int64()), "sline": pa.array([], pa.int32()), "words": pa.array([], pa.string())})
@@ -244,16 +286,15 @@ def _nullable(t: pa.DataType) -> pa.DataType:
     return pa.map_(t.key_type, _nullable(t.item_type)) if pa.types.is_map(t) else t
 
 
+@trimmed
 def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
     x = Lines(left)
-    whole = x.whole()
-    lh, first = np.unique(whole, return_index=True)
-    gone = np.ones(len(whole), bool)
-    gone[first] = False
+    gone = np.ones(len(x.lh), bool)
+    gone[x.distinct()] = False
     source: dict[int, tuple[int, int]] = {}
     if right.num_rows:
         kind = right["kind"].to_numpy()
-        gone |= member(whole, np.unique(right.filter(pa.array(kind == 0))["lh"].to_numpy().view(U)))
+        gone |= _equal(x, np.arange(len(gone)), right)
         texts = right.filter(pa.array(kind == 3))
         text = {(d, n): w.encode().split() for d, n, w in zip(*(texts[c].to_pylist() for c in ("sdoc", "sline", "words")), strict=True)}
         near = right.filter(pa.array(kind == 2))
@@ -276,7 +317,7 @@ def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
             text = b"\n".join(t for k, t in enumerate(text.split(b"\n")) if k not in drop)
         n_removed[r] = len(own)
         kept.append(text if valid[r] else None)
-        removed.append([(int(x.line[i]), *((None if (s := source.get(i)) is None or s[0] == NULL_ID else s[0]), s and s[1])) for i in own.tolist()])
+        removed.append([(int(x.line[i]), *((None if (s := source.get(i)) is None or s[0] < FIRST_ID else s[0]), s and s[1])) for i in own.tolist()])
     struct = pa.struct([("line", pa.int32()), ("src_doc", pa.int64()), ("src_line", pa.int32())])
     flat = [dict(zip(("line", "src_doc", "src_line"), t, strict=True)) for rows in removed for t in rows]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_removed)]), pa.int32()), pa.array(flat, struct))
@@ -291,16 +332,16 @@ def line_dedup(docs: DataFrame, *carry: str) -> DataFrame:
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
     full, n = bucketed(docs, *rest)
     dealt = full  # every pass reads the same exchange
-    reply = dealt.mapInArrow(_keys, KEYS).repartition(n, "key").mapInArrow(_meet, REPLY).groupBy("b", "kind", "lh").agg(F.min("doc").alias("doc"))
-    met = dealt.groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_variants, VARIANTS).repartition(n, "key").mapInArrow(_matches, MATCH)
+    reply = on_key(on_blocks(dealt, n, _keys, KEYS), n, "key", _meet, REPLY).groupBy("b", "kind", "lh", "lv").agg(F.min("doc").alias("doc"))
+    met = on_key(dealt.groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_variants, VARIANTS), n, "key", _matches, MATCH)
     best = met.groupBy("b", "doc", "line").agg(F.min(F.struct("sdoc", "sline", "sb")).alias("s")).select("b", "doc", "line", "s.*")
     asked = best.select("sb", "sdoc", "sline", F.col("b").alias("to")).distinct().select(F.col("sb"), F.col("to").alias("b"), "sdoc", "sline")
     texts = dealt.groupBy("b").cogroup(asked.groupBy("sb")).applyInArrow(_fetch, "b int, sdoc long, sline int, words string")
     null = lambda t: F.lit(None).cast(t)
     answer = (
-        reply.where("kind = 0").select("b", "kind", "lh", null("long").alias("doc"), null("int").alias("line"), null("long").alias("sdoc"), null("int").alias("sline"), null("string").alias("words"))
-        .union(best.select("b", F.lit(2), null("long"), "doc", "line", "sdoc", "sline", null("string")))
-        .union(texts.select("b", F.lit(3), null("long"), null("long"), null("int"), "sdoc", "sline", "words"))
+        reply.where("kind = 0").select("b", "kind", "lh", "lv", null("long").alias("doc"), null("int").alias("line"), null("long").alias("sdoc"), null("int").alias("sline"), null("string").alias("words"))
+        .union(best.select("b", F.lit(2), null("long"), null("long"), "doc", "line", "sdoc", "sline", null("string")))
+        .union(texts.select("b", F.lit(3), null("long"), null("long"), null("long"), null("int"), "sdoc", "sline", "words"))
     )
     kinds = dict((f.name, f.dataType) for f in docs.schema.fields)
     schema = RESULT + (", rest struct<" + ",".join(f"c{i}:{kinds[c].simpleString()}" for i, c in enumerate(carry)) + ">" if carry else "")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, as_batches, gathered, mix, n_buckets, signed, trim, tune, utf8, words
+from .common import LOWER, U, as_batches, distinct, gathered, mix, n_buckets, signed, trim, tune, utf8, words
 
 ORDER = 6
 NEAR = 3
@@ -61,7 +61,7 @@ def _low(batches):
     for x in batches:
         data, off = utf8(x.column(0))
         n_texts += x.num_rows
-        n_words += len(words(data, off, False)[0])
+        n_words += len(words(data, off, 0)[0])
         u, at = distinct((coded(data, off)[0] & ((1 << 8 * NEAR) - 1)).astype(np.int32))
         code, n = np.concatenate([held[0], u]), np.concatenate([held[1], np.bincount(at, minlength=len(u))])
         u, at = np.unique(code, return_inverse=True)
@@ -197,16 +197,6 @@ def _parts(code: np.ndarray, n: int) -> np.ndarray:
     return (mix(((code >> 8) & ((1 << 8 * NEAR) - 1)).astype(U) + U(1)) % U(n)).astype(np.int32)
 
 
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values, and where each x is among them."""
-    d = pa.array(x).dictionary_encode()
-    u, at = d.dictionary.to_numpy(), d.indices.to_numpy()
-    by = np.argsort(u)
-    place = np.empty(len(u), np.int64)
-    place[by] = np.arange(len(u))
-    return u[by], place[at]
-
-
 def asked(table: pa.Table, n: int):
     """What a block asks: for codes (0) and words (1), the sorted distinct values, the part of each, where each place's value is among them; texts' starts."""
     data, off = _lower(table)
@@ -328,7 +318,7 @@ def ppm_scores(docs: DataFrame) -> DataFrame:
     n = n_buckets(docs)
     slots = _slots(spark, n)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held)
-    block = F.get(F.lit(slots), F.pmod(F.xxhash64("doc_id"), F.lit(len(slots))).cast("int"))
+    block = F.get(F.lit(slots), F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(slots))).cast("int"))
     dealt = kept.withColumn("b", block.cast("int")).repartition(n, "b")
     questions = dealt.mapInArrow(_ask(slots), "to int, b int, kind int, size int, x binary, n binary").repartition(n, "to")
     answers = questions.mapInArrow(_answer(spark.sparkContext.broadcast(low)), "to int, b int, kind int, size int, y binary")

@@ -4,16 +4,18 @@ Fingerprint: lower-case A-Z, words between ASCII white space, shingles of three
 42) of each; a bit is set if it is set in over half the hashes. Two fingerprints are linked at `RADIUS` = 3 or
 fewer differing bits, and a component is everything that links reach.
 
-Candidates: of three differing bits one 32-bit half has at most one. So every fingerprint emits, for both halves,
-all variants of the half within half the radius (one bit): 66 keys. A pair is a candidate where a variant of one
-meets the unchanged half of the other; the shuffle on variants brings them together, and the whole distance
-decides. Only links that are needed to connect are written, so a dense group of near copies yields no more rows
-than it has members. Groups of a key are checked in blocks of centres; those over `HUB` pairs are connected
-by balls again, this time in the other half, which is linear in the group. A group holds distinct fingerprints that agree in 31 of 32 bits,
-not documents: copies have been collapsed before.
+Candidates: the bits fall into three blocks. Of three differing bits some block has one or more, so with that block
+left out two fingerprints differ in two bits or fewer. So for each block left out every fingerprint emits all variants of
+its other bits within half the radius (one bit): 131 keys of 42 or 43 bits. A pair is a candidate where a variant of one
+meets a variant of the other; the shuffle on variants brings them together, and the whole distance
+decides. Pairs are deduplicated in the task that finds them, and only links that are needed to connect are written, so a dense group of near copies yields no more rows
+than it has members. Groups of a key are checked in blocks; those over `HUB` pairs are connected
+by balls again, this time in the block left out, which is linear in the group. A group holds distinct fingerprints that agree in all but two of those bits,
+not documents: copies have been collapsed before. By chance a key is shared only beyond some 10^11 fingerprints.
 
 Null or wordless text has fingerprint 0 and is linked like any other. A null doc_id is no candidate for the smallest
-doc_id. Rows with the same doc_id are fingerprinted separately. Dedup tells rows apart by doc_id and a 64-bit hash of the text.
+doc_id. Rows with the same doc_id are fingerprinted separately. Dedup tells rows apart by doc_id and a 64-bit hash of the text. Texts of any
+length are read whole, an empty table gives an empty result, and a column of docs may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, U, as_batches, connected_components, cut, gathered, n_buckets, roots, tune
+from .common import LOWER_BYTES, U, as_batches, connected_components, cut, few, gathered, n_buckets, on_key, roots, trim, tune
 
 RADIUS = 3
 HUB = 1 << 24
@@ -49,6 +51,7 @@ def _fingerprints(batches):
     for x in batches:
         fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in x.column(1).cast(pa.binary())), U, x.num_rows)
         yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fp.view(np.int64)), *x.columns[2:]], names=["doc_id", "fp", *x.schema.names[2:]])
+    trim()
 
 
 def fingerprints(docs: DataFrame, **keys: Column) -> DataFrame:
@@ -59,22 +62,33 @@ def fingerprints(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(_fingerprints, schema)
 
 
+BLOCKS = ((0, 21), (21, 21), (42, 22))  # lowest bit and number of bits of what is left out
+
+
+def _without(fp: np.ndarray, shift: int, width: int) -> np.ndarray:
+    return (fp & U((1 << shift) - 1)) | (fp >> U(shift + width) << U(shift)) if shift + width < 64 else fp & U((1 << shift) - 1)
+
+
 def _variants(batches):
-    """key: half << 32 | value; center: the value is the fingerprint's own."""
-    flips = np.concatenate([[0], 1 << np.arange(32)]).astype(U)
+    """key: block left out << 60 | other bits, as they are and with each one flipped."""
     for x in batches:
         fp = x.column(0).to_numpy().view(U)
-        for half in (0, 1):
-            own = (fp >> U(32 * half)) & U(0xFFFFFFFF)
-            key = ((own[:, None] ^ flips) | U(half << 32)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, 33).view(np.int64)), pa.array(np.tile(flips == 0, len(fp)))], names=["key", "fp", "center"])
+        for k, (shift, width) in enumerate(BLOCKS):
+            flips = np.concatenate([[0], 1 << np.arange(64 - width)]).astype(U)
+            key = ((_without(fp, shift, width)[:, None] ^ flips) | U(k << 60)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64))], names=["key", "fp"])
 
 
-def _hubs(other: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Connects a large group without comparing pairs: balls in the other half. Members that share a variant are near by construction."""
+def _hubs(other: np.ndarray, center: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Connects a large group without comparing pairs, by balls in the block left out (other: its bits).
+
+    center: the other bits are the key itself. Two centers may differ in three bits here, a center and another member in two,
+    two others in one (or, if equal in the other bits, they are centers of another key).
+    """
     a, b = [], []
-    one = (1 << np.arange(32)).astype(U)
-    i, j = np.triu_indices(32, 1)
+    none = np.zeros(1, U)
+    one = (1 << np.arange(width)).astype(U)
+    i, j = np.triu_indices(width, 1)
     two = one[i] | one[j]
     even = np.bitwise_count(other) % 2 == 0
 
@@ -98,53 +112,66 @@ def _hubs(other: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray
             a.append(w[ok])
             b.append(w[first][ok])
 
-    c, p = np.flatnonzero(center), np.flatnonzero(~center)
-    ball = np.concatenate([[0], one]).astype(U)
-    link([(c, ball, True), (p, ball, False)], 1 + 33 * len(other) // (1 << 22))
+    n = len(other)
+    every, c, p = np.arange(n), np.flatnonzero(center), np.flatnonzero(~center)
+    ball = np.concatenate([none, one])
+    link([(c, ball, True), (p, ball, False)], 1 + len(ball) * n // (1 << 22))
     odd, ev = c[~even[c]], c[even[c]]
-    link([(odd, one, True), (ev, two, False)], 1 + 496 * len(ev) // (1 << 22))
+    link([(odd, one, True), (ev, two, False)], 1 + len(two) * len(ev) // (1 << 22))
+    link([(every, none, True)], 1)
+    link([(every[~even], one, False), (every[even], none, True)], 1 + width * n // (1 << 22))
     return np.concatenate(a), np.concatenate(b)
 
 
+SMALL = 48
+
+
 def _links(radius: int):
-    def group(fp: np.ndarray, center: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-        c = np.flatnonzero(center)
-        if len(c) * len(fp) > HUB and radius == RADIUS:
-            return _hubs((fp >> U(32 * (1 - half))) & U(0xFFFFFFFF), center)
-        a, b = [], []
-        step = max(1, (1 << 20) // len(fp))
-        for k in range(0, len(c), step):
-            i, j = np.nonzero(np.bitwise_count(fp[c[k : k + step]][:, None] ^ fp) <= radius)
-            a.append(c[k + i])
-            b.append(j)
-        return np.concatenate(a), np.concatenate(b)
+    def connect(fp: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links of a group that connect what its pairs within the radius connect."""
+        n = len(fp)
+        if n * n > HUB and radius == RADIUS:
+            shift, width = BLOCKS[key >> 60]
+            a, b = _hubs((fp >> U(shift)) & U((1 << width) - 1), _without(fp, shift, width) == U(key & ((1 << 60) - 1)), width)
+        else:
+            found = []
+            step = max(1, (1 << 20) // n)
+            for k in range(0, n, step):
+                i, j = np.nonzero(np.bitwise_count(fp[k : k + step][:, None] ^ fp) <= radius)
+                found.append(((k + i)[k + i < j], j[k + i < j]))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        root = roots(n, a, b)
+        far = np.flatnonzero(root != np.arange(n))
+        return fp[far], fp[root[far]]
 
     def run(batches):
         table = gathered(batches)
         if table is None:
             return
         key, fp = table["key"].to_numpy(), table["fp"].to_numpy().view(U)
-        center = table["center"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((~center, key))
-        key, fp, center = key[order], fp[order], center[order]
+        del table
+        order = np.argsort(key)
+        key, fp = key[order], fp[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(new, len(key)))
-        xs, ys = [], []
-        pairs = new[(size == 2) & center[new]]  # most groups: two fingerprints, compared all at once
-        near = np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= radius
-        xs.append(fp[pairs[near]])
-        ys.append(fp[pairs[near] + 1])
-        for s, n in zip(new[(size > 2) & center[new]], size[(size > 2) & center[new]], strict=True):
-            f = fp[s : s + n]
-            a, b = group(f, center[s : s + n], int(key[s] >> 32))
-            if len(a):
-                root = roots(n, a, b)
-                far = np.flatnonzero(root != np.arange(n))
-                xs.append(f[far])
-                ys.append(f[root[far]])
-        x, y = np.concatenate(xs).view(np.int64), np.concatenate(ys).view(np.int64)
-        if len(x):
-            yield from as_batches(pa.table({"a": x, "b": y}))
+        pairs = [np.zeros((0, 2), U)]
+        for n in range(2, SMALL + 1):  # most groups: all of a size at once
+            at = new[size == n]
+            for k in range(0, len(at), 1 << 16):
+                f = fp[at[k : k + (1 << 16), None] + np.arange(n)]
+                for i in range(n - 1):
+                    g, j = np.nonzero(np.bitwise_count(f[:, i : i + 1] ^ f[:, i + 1 :]) <= radius)
+                    pairs.append(np.unique(np.stack([f[g, i], f[g, i + 1 + j]], 1), axis=0) if len(g) else pairs[0])
+        for s, n in zip(new[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            pairs.append(np.stack(connect(fp[s : s + n], int(key[s])), 1))
+        x, y = np.concatenate(pairs).T
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)  # a pair meets in many keys
+        root = roots(len(nodes), at[: len(x)], at[len(x) :])
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        if len(far):
+            yield from as_batches(pa.table({"a": nodes[far].view(np.int64), "b": nodes[root[far]].view(np.int64)}))
+        del key, fp, pairs
+        trim()
 
     return run
 
@@ -152,7 +179,7 @@ def _links(radius: int):
 def _named(fps: DataFrame, n: int) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = distinct.select("fp").repartition(n, "fp").mapInArrow(_variants, "key long, fp long, center boolean").repartition(n, "key").mapInArrow(_links(RADIUS), "a long, b long")
+    edges = on_key(distinct.select("fp").repartition(few(n), "fp").mapInArrow(_variants, "key long, fp long"), n, "key", _links(RADIUS), "a long, b long")
     nodes = distinct.join(connected_components(edges), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     return nodes.join(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
 
@@ -186,15 +213,15 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     own = docs.withColumns({"__d": F.coalesce(doc_id, F.lit(0)), "__z": doc_id.isNull(), "__th": F.xxhash64(text)})
     keep = key(picks.where("k = 1").select("doc_id", "th", "n"))
     tied = key(first.join(picks.where("k > 1").select("root"), "root"))
-    n, few = _few(tied)
+    n, part = _few(tied)
     if n:
-        low = own.select(*keys, text.alias("t")).join(few, keys).groupBy("root").agg(F.min(F.struct(F.col("t").isNotNull(), F.col("t"))).alias("m"))
+        low = own.select(*keys, text.alias("t")).join(part, keys).groupBy("root").agg(F.min(F.struct(F.col("t").isNotNull(), F.col("t"))).alias("m"))
         chosen = low.select("root", F.xxhash64("m.t").alias("__th"))
         keep = cut(keep.union(tied.join(chosen, ["root", "__th"]).select(*keep.columns)))
     out = own.join(keep.where("n = 1").select(*keys), keys, "left_semi").select(*docs.columns)
-    n, few = _few(keep.where("n > 1").select(*keys))
+    n, part = _few(keep.where("n > 1").select(*keys))
     if n:
-        out = out.union(own.join(few, keys, "left_semi").dropDuplicates(keys).select(*docs.columns))
+        out = out.union(own.join(part, keys, "left_semi").dropDuplicates(keys).select(*docs.columns))
     return out
 
 

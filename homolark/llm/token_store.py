@@ -29,59 +29,84 @@ from .common import n_buckets, scratch, tune
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 19
-ROUNDS = 4
 LEAST = 8  # a pair must occur so often to become a rule
 ROUND_RULES = 2048
 STORE = "shard long, block int, block_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, vocab int, width int, rules binary, lengths binary, symbols binary"
-
-
-def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules of shape (k, 2), expansion lengths), symbols from `vocab` on being nonterminals."""
-    narrow = vocab + rounds * ROUND_RULES <= 1 << 16
-    key_t, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
-    seq, rules, lengths = ids.astype(key_t), [], [np.ones(0, np.int64)]
-    made = vocab
-    none = np.uint16(0xFFFF)
-    for _ in range(rounds):
-        if len(seq) < 2 * LEAST:
-            break
-        key = (seq[:-1] << key_t(shift)) | seq[1:]
-        s = np.sort(key)
-        at = np.flatnonzero(s[1:] != s[:-1]) + 1
-        at = np.concatenate([[0], at, [len(s)]])
-        n = np.diff(at)
-        often = np.flatnonzero(n >= LEAST)
-        if not len(often):
-            break
-        pick = often[np.argsort(-n[often], kind="stable")[:ROUND_RULES]]
-        pairs = s[at[pick]]
-        slot = lambda k: ((k * key_t(0x9E3779B1)) >> key_t(8)).astype(np.uint32) & np.uint32(0xFFFF)
-        table, rank = np.zeros(1 << 16, key_t), np.full(1 << 16, none)
+_SLOTS = 17  # bits of a place in the table of a round's rules
+
+
+def _frequent(key: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Pairs that occur `least` times or more, the most frequent first."""
+    if len(key) < least:
+        return key[:0]
+    s = np.sort(key)
+    hit = np.flatnonzero(s[least - 1 :] == s[: len(s) - least + 1])
+    first = hit[np.append(True, s[hit[1:]] != s[hit[:-1]])] if len(hit) else hit
+    n = np.searchsorted(s, s[first], "right") - first
+    return s[first[np.argsort(-n, kind="stable")[:most]]]
+
+
+def compress(ids: np.ndarray, vocab: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules of shape (k, 2), expansion lengths), symbols from `vocab` on being nonterminals.
+
+    Rounds go on until no pair occurs `least` times without a rule (pairs whose places overlap others so that fewer than three can be
+    replaced stay). After the first rounds only pairs with a symbol of the last round are counted, until a count of all pairs finds none.
+    """
+    seq, rules, lengths, made = ids.astype(np.uint32), [], np.ones(0, np.int64), vocab
+    none, latest = np.uint32(0xFFFFFFFF), -1  # latest: symbols from here on are new; -1: all pairs are counted
+    spent = np.zeros(0, np.uint64)  # pairs that overlap too much, as long as nothing changes
+    while len(seq) >= 2 * least:
+        kind, shift, factor = (np.uint64, 32, 0x9E3779B97F4A7C15) if made >= 1 << 16 else (np.uint32, 16, 0x9E3779B1)
+        seq = seq.astype(kind, copy=False)
+        if latest < 0:
+            at, key = None, (seq[:-1] << kind(shift)) | seq[1:]
+        else:
+            new = np.flatnonzero(seq >= latest)
+            at = np.unique(np.concatenate([new[new > 0] - 1, new[new < len(seq) - 1]]))
+            key = (seq[at] << kind(shift)) | seq[at + 1]
+        pairs = _frequent(key, least, ROUND_RULES + len(spent))
+        if len(spent):
+            pairs = pairs[~np.isin((pairs >> kind(shift)).astype(np.uint64) << np.uint64(32) | (pairs & kind((1 << shift) - 1)).astype(np.uint64), spent)]
+        if made < 1 << 16:
+            pairs = pairs[: (1 << 16) - made]
+        if not len(pairs):
+            if latest < 0:
+                break
+            latest = -1
+            continue
+        slot = lambda k: ((k * kind(factor)) >> kind(2 * shift - _SLOTS)).astype(np.intp)  # noqa: B023, E731
+        table, rank = np.zeros(1 << _SLOTS, kind), np.full(1 << _SLOTS, none)
         back = slot(pairs)[::-1]
-        table[back], rank[back] = pairs[::-1], np.arange(len(pairs), dtype=np.uint16)[::-1]  # the most frequent wins a slot
-        where = slot(key).astype(np.intp)
-        r = np.full(len(key) + 2, none)
-        np.copyto(r[1:-1], rank.take(where), where=table.take(where) == key)
-        hit = np.flatnonzero((r[1:-1] < r[:-2]) & (r[1:-1] <= r[2:]))  # where rules overlap, the more frequent one
-        got = r[1:-1][hit]
+        table[back], rank[back] = pairs[::-1], np.arange(len(pairs), dtype=np.uint32)[::-1]  # the most frequent wins a slot; the other's turn comes
+        where = slot(key)
+        some = np.flatnonzero(table.take(where) == key)
+        r, at = rank.take(where[some]), some if at is None else at[some]
+        near = np.diff(at) == 1
+        left, right = np.append(none, np.where(near, r[:-1], none)), np.append(np.where(near, r[1:], none), none)
+        place = np.arange(len(r))
+        place -= np.maximum.accumulate(np.where(left == r, 0, place))  # in a run of one symbol every other place is taken
+        hit = np.flatnonzero((place & 1 == 0) & ((left == r) | (r < left)) & (r <= right))  # where rules overlap, the more frequent one
+        got, hit = r[hit], at[hit]
         uses = np.bincount(got, minlength=len(pairs))
         ok = uses >= 3
+        lost = pairs[(uses < 3) & (table[slot(pairs)] == pairs)]
+        spent = np.append(spent, (lost >> kind(shift)).astype(np.uint64) << np.uint64(32) | (lost & kind((1 << shift) - 1)).astype(np.uint64))
         hit, got = hit[ok[got]], got[ok[got]]
         if not len(hit):
-            break
+            continue
         name = np.cumsum(ok) - 1 + made
-        seq[hit] = name[got].astype(key_t)
+        seq[hit] = name[got].astype(kind)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq = seq[keep]
+        seq, spent = seq[keep], spent[:0]
         own = pairs[ok]
-        lr = np.stack([own >> key_t(shift), own & key_t((1 << shift) - 1)], axis=1).astype(np.int64)
-        known = np.concatenate(lengths)
-        size = lambda x: np.where(x < vocab, 1, known[np.maximum(x - vocab, 0)] if len(known) else 1)  # noqa: B023, E731
-        lengths.append(size(lr[:, 0]) + size(lr[:, 1]))
+        lr = np.stack([own >> kind(shift), own & kind((1 << shift) - 1)], axis=1).astype(np.int64)
+        size = lambda x: np.where(x < vocab, 1, lengths[np.maximum(x - vocab, 0)] if len(lengths) else 1)  # noqa: B023, E731
+        lengths = np.append(lengths, size(lr[:, 0]) + size(lr[:, 1]))
         rules.append(lr)
+        latest = made if len(own) < ROUND_RULES // 8 else -1
         made += len(own)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths)
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,10 +3,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from homolark.llm import common
+from homolark.llm import simhash_dedup as simhash
 from homolark.llm.line_dedup import line_dedup, within_one
 from homolark.llm.simhash_dedup import _hubs, fingerprint, simhash_components, simhash_dedup
 from homolark.llm.substring_dedup import substring_dedup
@@ -49,6 +52,32 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=lambda x: str(x))
 
 
+def thue_morse(n, *pair):
+    """Two sequences that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return " ".join(pair[b] for b in bits), " ".join(pair[1 - b] for b in bits)
+
+
+def test_sequences_of_equal_polynomials(spark):
+    long = [x.replace(" ", "") for x in thue_morse(2048, "a", "b")]
+    lines = [*thue_morse(512, "x", "y"), *thue_morse(2048, "p", "q"), *(f"one two three {w} five" for w in long)]
+    docs = docs_of(spark, list(enumerate(lines)))
+    assert line_dedup(docs.where("doc_id < 4")).agg(F.sum("n_removed")).first()[0] == 0
+    words = [x.split() for x in lines]
+    seen, n = set(), 0
+    for w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(g)
+        n += sum(gone)
+    assert substring_dedup(docs).agg(F.sum("n_removed")).first()[0] == n
+    pair = docs_of(spark, [(1, " ".join([long[0]] * 20)), (2, " ".join([long[1]] * 20))])
+    assert substring_dedup(pair).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_substring_brute_force(spark, texts):
     seen, want, place = set(), [], {}
     for i, t in ordered(texts):
@@ -141,25 +170,60 @@ def test_simhash_keeps_one_row_a_component(spark):
     assert rows(got) == sorted(want, key=str)
 
 
+def groups(n, a, b):
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for x, y in zip(a, b):
+            root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            return root
+
+
 def test_hubs_connect_what_pairs_connect():
     rng = np.random.default_rng(3)
-    other = rng.integers(0, 1 << 32, 6, dtype=np.uint64)
-    flips = (np.uint64(1) << rng.integers(0, 12, (400, 3)).astype(np.uint64))
-    other = np.unique(np.bitwise_xor.reduce(np.column_stack([rng.choice(other, 400), flips]), axis=1))
-    center = rng.random(len(other)) < 0.7
-
-    def groups(a, b):
-        root = list(range(len(other)))
-        for _ in range(len(other)):
-            before = list(root)
-            for x, y in zip(a, b):
-                root[x] = root[y] = min(root[x], root[y])
-            if root == before:
-                return root
-
+    other = rng.integers(0, 1 << 21, 6, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 12, (400, 3)).astype(np.uint64)
+    other = np.bitwise_xor.reduce(np.column_stack([rng.choice(other, 400), flips]), axis=1)
+    center = rng.random(len(other)) < 0.3
     d = np.bitwise_count(other[:, None] ^ other)
-    a, b = np.nonzero((center[:, None] & center & (d <= 3)) | (center[:, None] & ~center & (d <= 2)))
-    assert groups(a, b) == groups(*_hubs(other, center))
+    a, b = np.nonzero((center[:, None] & center & (d <= 3)) | (center[:, None] & ~center & (d <= 2)) | (d <= 1))
+    assert groups(len(other), a, b) == groups(len(other), *_hubs(other, center, 21))
+
+
+@pytest.mark.parametrize("hub", [simhash.HUB, 100])
+def test_links_connect_all_near_fingerprints(monkeypatch, hub):
+    monkeypatch.setattr(simhash, "HUB", hub)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)
+    flips = np.uint64(1) << rng.integers(0, 64, (900, 3)).astype(np.uint64)
+    near = np.bitwise_xor.reduce(np.column_stack([rng.choice(base[:20], 900), flips[:, :2], np.where(rng.random(900) < 0.5, flips[:, 2], np.uint64(0))]), axis=1)
+    fp = np.unique(np.concatenate([base, near]))
+    keys = pa.Table.from_batches(list(simhash._variants([pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], names=["fp"])])))
+    assert keys.num_rows == 131 * len(fp)
+    links = pa.Table.from_batches(list(simhash._links(3)(iter(keys.to_batches()))))
+    a, b = (np.searchsorted(fp, links[c].to_numpy().view(np.uint64)) for c in "ab")
+    x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp) <= 3)
+    assert groups(len(fp), a, b) == groups(len(fp), x[x != y], y[x != y]) and links.num_rows < len(fp)
+
+
+def test_few_partitions_of_many_groups(spark, texts, monkeypatch):
+    docs = docs_of(spark, texts)
+    want = [rows(f(docs).drop("removed", "factors")) for f in (line_dedup, substring_dedup, simhash_components)]
+    monkeypatch.setattr(common, "MOST_PARTS", 2)
+    assert [rows(f(docs).drop("removed", "factors")) for f in (line_dedup, substring_dedup, simhash_components)] == want
+
+
+def test_rows_without_id_are_spread(spark):
+    r = random.Random(8)
+    line = lambda: " ".join(r.choice("abcdefghij") + str(r.randrange(99)) for _ in range(25))
+    some = [(None, f"{line()}\n{line()}") for _ in range(60)] + [(1, "x y z")]
+    some += [(None, t + "\nlast line of this one") for _, t in some[:5]]
+    docs = docs_of(spark, some)
+    dealt, _ = common.bucketed(docs)
+    assert dealt.select("b").distinct().count() > 4
+    assert line_dedup(docs).agg(F.sum("n_removed")).first()[0] == 10 + 4
+    assert substring_dedup(docs).agg(F.sum("n_removed")).first()[0] == 5 * 50
 
 
 def test_empty(spark):

@@ -8,26 +8,53 @@ from pyspark.sql import functions as F
 from test_text_dedup import docs_of, ordered, texts  # noqa: F401
 from tokenizers import Tokenizer
 
-from homolark.llm.packing import Packer, pack
+from homolark.llm.packing import JOINED, STEP_TOKENS, Packer, pack
 from homolark.llm.token_store import LEAST, Stored, compress, read_store, shard_starts, write_store
 from homolark.llm.tokens import Encoder
 
 ODD = ["", " ", "  a  b \n\n c", "it's IT'S 12.5$ <|endoftext|>x", "a b\x1cc  d", "é ́x", "\n", "a\n b", "Ünïcödé\tΣΑΣ.", "a b c", "你好 \U0001f600!", "x" * 5000]
 
 
-def plain(name, some):
+def plain(name, some, marks_as_text=False):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = marks_as_text
     return [e.ids + [2] for e in t.encode_batch(some, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    """Two words of bytes that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_library(name):
+@pytest.mark.parametrize("marks_as_text", [False, True])
+def test_encoder_equals_library(name, marks_as_text):
     r = random.Random(2)
     chars = "abcAB 12.,!?'\n\té<|>"
     some = ODD + ["".join(r.choice(chars) for _ in range(r.randrange(80))) for _ in range(500)]
-    ids, off = Encoder(public_tokenizers.path(name)).encode(some, 2)
-    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == plain(name, some)
+    some += [t for n in (64, 512, 1024, 2048) for t in thue_morse(n)] + ["a <|startoftext|> b<|endoftext|>", " x" * 9 + "<|endoftext|>" * 2]
+    e = Encoder(public_tokenizers.path(name), marks_as_text)
+    for again in range(2):
+        ids, off = e.encode(some, 2)
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == plain(name, some, marks_as_text)
+    assert Encoder(public_tokenizers.path(name)).encode([], 2)[0].tolist() == []
+
+
+def test_equal_hashes_are_told_apart():
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = plain("byte_bpe_50k.json", ["one two", "three two"])
+    e.encode(["one two"], 2)
+    pieces = e._pieces
+
+    def forged(data, off):
+        s, t, h, check, first = pieces(data, off)
+        h[0] = e.keys[0]
+        return s, t, h, check, first
+
+    e._pieces = forged
+    ids, off = e.encode(["three two"], 2)
+    assert ids.tolist() == want[1]
 
 
 def test_compress_round_trip_and_random_access():
@@ -40,6 +67,10 @@ def test_compress_round_trip_and_random_access():
             assert (s.ids() == ids).all()
             for a, b in r.integers(0, max(1, len(ids)), (20, 2)):
                 assert s.ids(a, b).tolist() == ids[a:b].tolist()
+            pairs = {}
+            for p in zip(symbols[:-1].tolist(), symbols[1:].tolist()):
+                pairs[p] = pairs.get(p, 0) + 1
+            assert max(pairs.values(), default=0) < 2 * LEAST  # overlapping places apart, no frequent pair is left
     assert len(symbols) * 2 < len(ids) and LEAST > 1
 
 
@@ -74,20 +105,52 @@ def test_pack(spark, texts):  # noqa: F811
         assert at == t and t <= 4096 and t & (t - 1) == 0
 
 
+def held_by(p, lengths):
+    for d, n in enumerate(lengths):
+        own = sorted(x[1:3] for x in p.out if x[0] == d) + [(a, k) for q, a, k in p.left if q == d]
+        at = 0
+        for a, k in sorted(own):
+            assert a == at and k > 0
+            at += k
+        assert at == n
+    for s, t in enumerate(p.tier_of):
+        assert sum(x[2] for x in p.out if x[3] == s) == t and t <= 4096 and t & (t - 1) == 0
+
+
 def test_packer_random():
     r = random.Random(3)
-    for _ in range(200):
+    for k in range(300):
         lengths = [r.choice([1, 7, 100, 511, 512, 513, 1500, 2048, 4095, 4096, 4097, 9000]) for _ in range(r.randrange(1, 30))]
         p = Packer()
-        p.pack(lengths)
-        for d, n in enumerate(lengths):
-            at = 0
-            for _, a, k, _, _ in sorted(x for x in p.out if x[0] == d):
-                assert a == at and k > 0
-                at += k
-            assert at == n
-        for s, t in enumerate(p.tier_of):
-            assert sum(x[2] for x in p.out if x[3] == s) == t
+        p.pack(lengths, last=k % 2 == 0)
+        held_by(p, lengths)
+        assert k % 2 or not p.left
+        assert sum(x[2] for x in p.left) < 512 + 1024 + 2048 + 4096
+
+
+def test_tiers_hold_their_own():
+    r = random.Random(4)
+    p = Packer()
+    p.pack([r.randrange(50, 500) for _ in range(3000)])
+    assert sum(t == 512 for t in p.tier_of) > 0.95 * len(p.tier_of)
+    p = Packer()
+    lengths = [r.choice((300, 700, 1500, 3000)) for _ in range(2000)]
+    p.pack(lengths)
+    held_by(p, lengths)
+    by = {t: p.tier_of.count(t) for t in set(p.tier_of)}
+    assert by[4096] > 400 and by[2048] > 100  # items of 3000 and 1500 open windows, filled from shorter ones
+
+
+def test_steps_are_balanced(spark):
+    some = [(i, "word " * (i * 37 % 900)) for i in range(2000)]
+    rows = pack(docs_of(spark, some).coalesce(1), public_tokenizers.path("word_bpe_49k.json"), 2, group_bytes=100_000).collect()
+    steps, tiers = {}, {}
+    for r in rows:
+        steps[r.step] = steps.get(r.step, 0) + r.length
+        tiers.setdefault(r.step, set()).add(r.tier)
+    assert sum(n != STEP_TOKENS for n in steps.values()) <= 1 and len(steps) > 5
+    assert all(len(t) == 1 for k, t in tiers.items() if k & 15 != JOINED)
+    assert sum(n for n in steps.values()) == sum(len(t.split()) + 1 for _, t in some)
 
 
 def test_empty(spark, tmp_path):
