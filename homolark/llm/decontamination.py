@@ -11,10 +11,13 @@ Whether a capitalised word that opens a sentence or quotation, or is all capital
 views: it is a literal word in the first and a name in the second, on both sides. The second counts for items that the first
 does not find. Items shorter than a window are one whole window, which matches the same words and values only.
 
-The benchmark's windows are broadcast only if they are counted to be `BROADCAST_ROWS` or fewer; otherwise the same
+If the benchmark has `SIFT_ROWS` distinct windows or fewer, their hashes are part of the query, and documents' windows are
+sifted by them before rows are made. The benchmark's windows are broadcast only if they are counted to be `BROADCAST_ROWS` or fewer; otherwise the same
 join shuffles. Documents are exploded to hashes and slot values, never to copies of the text, and only hits are shuffled.
 
-Null text has no windows. Rows that share a doc_id are matched apart (by text); a null doc_id is carried as null.
+Null text has no windows. Rows that share a doc_id are matched apart (by text); a null doc_id is carried as null. Items without words are
+never found. Texts of any length are read whole; an empty table of documents or items gives an empty result. In `decontaminate` columns of
+docs may have any name but those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 WINDOW = 5
 SHARE = 0.5
 BROADCAST_ROWS = 500_000
+SIFT_ROWS = 20_000
 
 NUMBER, UNIT, NAME, OPEN = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use characters, blanked in input
 BOTH, LITERAL, NAMED = 0, 1, 2  # views that a window belongs to
@@ -52,18 +56,21 @@ def _word(w: Column) -> Column:
     return F.when((w >= NUMBER) & (w < chr(ord(OPEN) + 1)), F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
-def windows(df: DataFrame, text: str, *keys: str, short: list[int] | None = None) -> DataFrame:
+def windows(df: DataFrame, text: str, *keys: str, short: list[int] | None = None, among: list[int] | None = None) -> DataFrame:
     """keys, pos, h (hash of the canonical window), slots (hashes of the values in it, null if it has none), view.
 
     Of documents (`short` is given) also all windows of the lengths in `short`; of items, the whole item if it is shorter than a window.
+    `among`: only windows with one of these hashes; they are sifted as arrays, before any row is made.
     """
     some = df.select(*keys, tokens(F.col(text)).alias("__w"))
-    is_slot = lambda w: _mark(w).isin(NUMBER, UNIT, NAME)
-    is_open = lambda w: _mark(w) == OPEN
+    marked = lambda w: (w >= NUMBER) & (w < chr(ord(OPEN) + 1))
+    is_open = lambda w: (w >= OPEN) & (w < chr(ord(OPEN) + 1))
+    is_slot = lambda w: (w >= NUMBER) & (w < OPEN)
     slotted, opened = F.exists("__w", is_slot), F.exists("__w", is_open)
-    literal = lambda w: F.when(is_slot(w), _mark(w)).when(is_open(w), F.substring(w, 2, 1 << 30)).otherwise(w)
-    named = lambda w: F.when(is_slot(w), _mark(w)).when(is_open(w), F.lit(NAME)).otherwise(w)
-    value = lambda w: F.when(is_slot(w), F.xxhash64(w)).when(is_open(w), F.xxhash64(F.concat(F.lit(NAME), F.substring(w, 2, 1 << 30))))
+    bare = lambda w: F.substring(w, 2, 1 << 30)
+    literal = lambda w: F.when(~marked(w), w).when(w < OPEN, _mark(w)).otherwise(bare(w))
+    named = lambda w: F.when(~marked(w), w).when(w < OPEN, _mark(w)).otherwise(F.lit(NAME))
+    value = lambda w: F.when(is_slot(w), F.xxhash64(w)).when(is_open(w), F.xxhash64(F.concat(F.lit(NAME), bare(w))))
     arrays = {
         "__c": F.transform("__w", lambda w: F.xxhash64(literal(w))),
         "__v": F.when(slotted, F.transform("__w", lambda w: F.when(is_slot(w), F.xxhash64(w)))),
@@ -85,17 +92,26 @@ def windows(df: DataFrame, text: str, *keys: str, short: list[int] | None = None
         return out
 
     size = F.size("__c")
-    at = F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(F.array().cast("array<int>"))
+    no_place = F.array().cast("array<int>")
+    at = F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(no_place)
+    opens = F.when(F.col("__o").isNull(), no_place).otherwise(F.filter(at, has_open))
+    lengths = range(1, WINDOW) if short is None else short
+    shorts = {f"__k{n}": F.when(size == n if short is None else size >= n, F.sequence(F.lit(0), size - n)).otherwise(no_place) for n in lengths}
+    some = some.withColumns({"__a": at, "__b": opens} | shorts)
+    whole = lambda n: lambda i: F.xxhash64(F.lit(n), hashed("__s", i, n))
+    whole_row = lambda n: lambda i: row(i, whole(n)(i), none, F.lit(BOTH))
+    if among is not None:
+        values = ", ".join(f"{h}L" if h > -(1 << 63) else f"({h + 1}L - 1L)" for h in among) or "NULL"
+        # one pass over places: a column of hashes would be written into the lambda and be computed again for each place
+        window = lambda c, n=WINDOW: f"xxhash64({', '.join(f'get({c}, i + {j})' for j in range(n))})"
+        places = {"__a": window("__c"), "__b": window("__n")} | {f"__k{n}": f"xxhash64({n}, {window('__s', n)})" for n in lengths}
+        some = some.withColumns({p: F.expr(f"array_compact(transform({p}, i -> if({h} in ({values}), i, null)))") for p, h in places.items()})
     view = lambda i: F.when(F.col("__o").isNull(), BOTH).when(has_open(i), LITERAL).otherwise(BOTH)
     slots = lambda i: F.when(F.size(filled("__v", i)) > 0, filled("__v", i))
-    plain = F.transform(at, lambda i: row(i, hashed("__c", i), none, view(i)))
-    full = F.transform(at, lambda i: row(i, hashed("__c", i), slots(i), view(i)))
-    each = [F.when(F.col("__v").isNull(), plain).otherwise(full)]
-    empty = F.slice(plain, 1, 0)
-    each.append(F.when(F.col("__o").isNull(), empty).otherwise(F.transform(F.filter(at, has_open), lambda i: row(i, hashed("__n", i), filled("__u", i), F.lit(NAMED)))))
-    whole = lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda i: row(i, F.xxhash64(F.lit(n), hashed("__s", i, n)), none, F.lit(BOTH)))
-    for n in range(1, WINDOW) if short is None else short:
-        each.append(F.when(size == n if short is None else size >= n, whole(n)).otherwise(empty))
+    plain = F.transform("__a", lambda i: row(i, hashed("__c", i), none, view(i)))
+    full = F.transform("__a", lambda i: row(i, hashed("__c", i), slots(i), view(i)))
+    each = [F.when(F.col("__v").isNull(), plain).otherwise(full), F.transform("__b", lambda i: row(i, hashed("__n", i), filled("__u", i), F.lit(NAMED)))]
+    each += [F.transform(f"__k{n}", whole_row(n)) for n in lengths]
     return some.select(*keys, F.explode(F.concat(*each)).alias("__x")).select(*keys, "__x.*")
 
 
@@ -108,7 +124,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     length = F.size(tokens(F.col("text").cast("string")))
     short = [r.n for r in items.select(length.alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect()]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = windows(docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(text).alias("__t"), text.alias("__x")), "__x", "__doc", "__t", short=sorted(short))
+    few = [r.h for r in bench.select("h").distinct().limit(SIFT_ROWS + 1).collect()]
+    own = windows(docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(text).alias("__t"), text.alias("__x")), "__x", "__doc", "__t", short=sorted(short), among=few if len(few) <= SIFT_ROWS else None)
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = own.join(F.broadcast(bench) if small else bench, "h").withColumn("__view", F.explode(F.array_intersect(views(F.col("view")), views(F.col("__iview")))))
     diagonal = [F.col("__doc"), F.col("__t"), F.col("__item"), F.col("__view"), (F.col("pos") - F.col("__ipos")).alias("__d")]

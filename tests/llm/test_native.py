@@ -1,6 +1,7 @@
 import random
 
 import regex
+import pytest
 from pyspark.sql import functions as F
 from test_text_dedup import SCHEMA, docs_of, texts  # noqa: F401
 
@@ -72,7 +73,9 @@ def test_decontamination(spark, texts):  # noqa: F811
     assert D.contaminated(docs, items.where("item_id = 99")).count() == D.contaminated(docs.where("doc_id = 9999"), items).count() == 0
 
 
-def test_names_that_open_and_short_items(spark):
+@pytest.mark.parametrize("sift", [D.SIFT_ROWS, 0])
+def test_names_that_open_and_short_items(spark, sift, monkeypatch):
+    monkeypatch.setattr(D, "SIFT_ROWS", sift)
     item = "Alice has 5 apples. Bob gives her 3 more."
     each = "Alice bakes 5 fresh loaves for the market. Bob sells 3 loaves there before noon today. Alice wants to know how many remain unsold."
     items = spark.createDataFrame([(1, item), (2, each), (3, "Mix 5 g salt"), (4, "Yes")], "item_id long, text string")
