@@ -338,8 +338,9 @@ def line_dedup(docs: DataFrame, *carry: str) -> DataFrame:
     asked = best.select("sb", "sdoc", "sline", F.col("b").alias("to")).distinct().select(F.col("sb"), F.col("to").alias("b"), "sdoc", "sline")
     texts = dealt.groupBy("b").cogroup(asked.groupBy("sb")).applyInArrow(_fetch, "b int, sdoc long, sline int, words string")
     null = lambda t: F.lit(None).cast(t)
+    # all replies with all columns: a filter or fewer columns would move below the aggregate, and the replies would be computed twice
     answer = (
-        reply.where("kind = 0").select("b", "kind", "lh", "lv", null("long").alias("doc"), null("int").alias("line"), null("long").alias("sdoc"), null("int").alias("sline"), null("string").alias("words"))
+        reply.select("b", "kind", "lh", "lv", "doc", null("int").alias("line"), null("long").alias("sdoc"), null("int").alias("sline"), null("string").alias("words"))
         .union(best.select("b", F.lit(2), null("long"), null("long"), "doc", "line", "sdoc", "sline", null("string")))
         .union(texts.select("b", F.lit(3), null("long"), null("long"), null("long"), null("int"), "sdoc", "sline", "words"))
     )
