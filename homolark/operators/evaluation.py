@@ -45,6 +45,38 @@ def missed_scores(reference: DataFrame, other: DataFrame) -> DataFrame:
     return total.join(F.broadcast(median), F.lit(True)).select("n", "mean", "median")
 
 
+def missed_sorted(reference: DataFrame, other: DataFrame) -> DataFrame:
+    """Matches that `other` lacks, highest score first, with their rank (equal scores share it). Only distinct scores meet in one place."""
+    m = minus(reference, other)
+    scores = m.groupBy("score").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = scores.select("score", (F.coalesce(before, F.lit(0)) + 1).alias("rank"))
+    return m.join(ranks, "score").select(*KEY, "rank").orderBy(F.desc("score"), *KEY)
+
+
+def missed_histogram(reference: DataFrame, other: DataFrame, width: int = 50) -> DataFrame:
+    """Numbers of missed matches by ranges of score."""
+    low = (F.floor(F.col("score") / width) * width).cast("long").alias("low")
+    return minus(reference, other).groupBy(low).agg(F.count("*").alias("n"))
+
+
+def totals(seqs: DataFrame, *by: str) -> DataFrame:
+    """Sequences and residues, in all or by groups."""
+    return seqs.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("residues"))
+
+
+def residues(seqs: DataFrame) -> DataFrame:
+    """How often each letter stands in all sequences."""
+    counts = [F.sum(F.length("seq") - F.length(F.translate("seq", chr(65 + k), ""))).alias(chr(65 + k)) for k in range(26)]
+    long = seqs.agg(*counts).unpivot([], [chr(65 + k) for k in range(26)], "residue", "n")
+    return long.where("n > 0")
+
+
+def averages(runs: DataFrame, by: str, value: str) -> DataFrame:
+    """Number and mean of the values of each group."""
+    return runs.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
 def cluster_report(clusters: DataFrame) -> DataFrame:
     sets = F.array_sort("members")
     return clusters.agg(F.count("*").alias("n_clusters"), F.count_distinct(sets).alias("n_distinct"), F.count_distinct(F.col("members")[0]).alias("n_representatives"))

@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,12 @@ def read_fasta(spark: SparkSession, *paths: str, strict: bool = False) -> DataFr
     clean = F.regexp_replace(body, r"[\s]", "")
     bad = F.regexp_replace(clean, "[A-Z]", "")
     seq = F.when((F.length(bad) > 0) & F.lit(strict), F.raise_error(F.concat(F.lit("not a residue: "), bad)).cast("string")).otherwise(F.regexp_replace(clean, "[^A-Z]", ""))
-    order = Window.partitionBy("f").orderBy("at", "k")
-    return raw.select(genome_name(F.col("f")).alias("genome"), (F.row_number().over(order) - 1).alias("genome_index"), F.trim(F.regexp_replace(F.element_at(F.split("value", "\n"), 1), "\r", "")).alias("meta"), seq.alias("seq"))
+    # records are numbered within their split; only the splits' counts meet in one place
+    splits = raw.groupBy("f", "at").agg(F.count("*").alias("n"))
+    splits = splits.select("f", "at", F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("f", "at").orderBy("k")) - 1
+    raw = raw.withColumns({"value": F.col("value"), "__n": within}).withColumn("__seq", seq).join(splits, ["f", "at"])
+    return raw.select(genome_name(F.col("f")).alias("genome"), (F.col("base") + F.col("__n")).cast("int").alias("genome_index"), F.trim(F.regexp_replace(F.element_at(F.split("value", "\n"), 1), "\r", "")).alias("meta"), F.col("__seq").alias("seq"))
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:
@@ -83,6 +88,32 @@ def unpack_bases(blob: bytes) -> str:
     return "".join(BASE_CODES[c] for c in codes[: end[0] if len(end) else len(codes)].tolist())
 
 
+def write_agd(seqs: DataFrame, path: str, name: str, rows: int = 10_000, compression: int = GZIP) -> str:
+    """Chunks of `rows` consecutive ordinals of (ordinal, meta, seq), each a file a column in a folder that all workers share, and the manifest; its path.
+
+    A task writes whole chunks, which it names by their first ordinal, so a task that runs again writes the same files.
+    """
+    chunked = seqs.select(F.floor(F.col("ordinal") / rows).cast("long").alias("chunk"), F.col("ordinal").cast("long").alias("ordinal"), F.coalesce("meta", F.lit("")).alias("meta"), "seq")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, base = pdf.sort_values("ordinal"), f"{path}/{name}-{key[0]:012d}"
+        first = int(pdf["ordinal"].iloc[0])
+        for column, records in (("prot", [bytes(c - 65 for c in s.encode()) for s in pdf["seq"]]), ("metadata", [m.encode() for m in pdf["meta"]])):
+            fs, at = pa_fs.FileSystem.from_uri(f"{base}.{column}")
+            fs.create_dir(at.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(at) as out:
+                out.write(encode_chunk(records, compression=compression, first=first, name=name))
+        return pd.DataFrame({"chunk": [key[0]], "n": [len(pdf)]})
+
+    chunks = chunked.groupBy("chunk").applyInPandas(run, "chunk long, n long").orderBy("chunk").collect()  # a row a file
+    doc = {"name": name, "columns": ["prot", "metadata"], "records": [{"path": f"{path}/{name}-{r.chunk:012d}"} for r in chunks]}
+    fs, at = pa_fs.FileSystem.from_uri(f"{path}/{name}.json")
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        out.write(json.dumps(doc).encode())
+    return f"{path}/{name}.json"
+
+
 def read_agd(spark: SparkSession, manifest: str, columns: tuple[str, ...] = ("prot", "metadata")) -> DataFrame:
     """(ordinal, one binary column per requested column): one task per chunk file, other columns' files are not read."""
     doc = spark.read.option("multiLine", True).json(manifest).first()
@@ -141,27 +172,47 @@ def numbered(seqs: DataFrame) -> DataFrame:
     return seqs.join(sizes, key).select((F.col("base") + F.col("genome_index")).cast("int").alias("abs_id"), "genome", "genome_size", "genome_index", "meta", "seq", F.length("seq").alias("len"))
 
 
-def clusters_document(clusters: DataFrame, seqs: DataFrame, datasets: list[str]) -> DataFrame:
-    """One row per cluster, in order: the cluster as JSON."""
+def clusters_document(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(pos, value): each cluster as JSON."""
     each = clusters.select("pos", F.posexplode("members").alias("o", "abs_id")).join(seqs.select("abs_id", "genome", "genome_index"), "abs_id")
     row = F.struct("o", F.struct(F.col("genome").alias("Genome"), F.col("genome_index").alias("Index"), F.col("abs_id").alias("AbsoluteIndex")).alias("m"))
     return each.groupBy("pos").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["m"])).alias("value"))
 
 
+def _joined(spark: SparkSession, parts: str, path: str) -> None:
+    """The files of a folder, one after the other, as one file; bytes pass through the driver in pieces, never all at once."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(conf)
+    out = fs.create(Path(path), True)
+    for f in sorted((f.getPath() for f in fs.listStatus(Path(parts))), key=lambda f: f.getName()):
+        if f.getName().startswith("part-"):
+            source = fs.open(f)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+    out.close()
+    fs.delete(Path(parts), True)
+
+
 def write_clusters(clusters: DataFrame, seqs: DataFrame, path: str, datasets: list[str]) -> None:
-    """Gzipped lines: the datasets' document, then a cluster a line; written in parallel, order by pos."""
-    head = clusters.sparkSession.createDataFrame([(-1, json.dumps({"datasets": datasets}))], "pos int, value string")
-    body = clusters_document(clusters, seqs, datasets)
-    head.unionByName(body.select(F.col("pos").cast("int").alias("pos"), "value")).repartitionByRange("pos").sortWithinPartitions("pos").select(F.to_json(F.struct("pos", "value")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+    """One gzipped document {datasets, clusters} at path + ".gz". Parts are written and compressed in parallel, in order of pos; gzip files may follow each other."""
+    spark = clusters.sparkSession
+    body = clusters_document(clusters, seqs).select(F.col("pos").cast("long").alias("pos"), "value")
+    first = body.agg(F.min("pos").alias("first"))
+    body = body.join(F.broadcast(first), F.lit(True)).select("pos", F.concat(F.when(F.col("pos") > F.col("first"), ",").otherwise(""), "value").alias("value"))
+    ends = spark.createDataFrame([(-(1 << 62), '{"clusters": ['), (1 << 62, f'], "datasets": {json.dumps(datasets)}}}')], "pos long, value string")
+    parts = f"{path}.parts"
+    ends.unionByName(body).repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").option("compression", "gzip").text(parts)
+    _joined(spark, parts, f"{path}.gz")
 
 
 def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """(pos, members) and the datasets, of `write_clusters` or of a single prior document {datasets, clusters}."""
-    lines = spark.read.text(path).select(F.from_json("value", "pos int, value string, datasets array<string>, clusters array<array<struct<Genome:string,Index:int,AbsoluteIndex:long>>>").alias("r")).select("r.*")
-    whole = lines.where(F.col("clusters").isNotNull()).select("datasets", F.posexplode("clusters").alias("pos", "c"))
-    each = lines.where("pos >= 0").select("pos", F.from_json("value", "array<struct<Genome:string,Index:int,AbsoluteIndex:long>>").alias("c")).unionByName(whole.select("pos", "c"))
-    head = lines.where("pos = -1 or clusters is not null").select(F.coalesce("datasets", F.from_json("value", "datasets array<string>")["datasets"]).alias("d")).first()
-    return each.select("pos", F.transform("c", lambda m: m["AbsoluteIndex"]).alias("members")), list(head["d"]) if head else []
+    """(pos, members) and the datasets of a document {datasets, clusters}, however it is laid out, gzipped or not."""
+    kind = "datasets array<string>, clusters array<array<struct<Genome:string,Index:int,AbsoluteIndex:long>>>"
+    doc = spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    out = doc.select(F.posexplode("clusters").alias("pos", "c")).select("pos", F.transform("c", lambda m: m["AbsoluteIndex"]).alias("members"))
+    head = doc.select("datasets").first()
+    return out, list(head["datasets"] or []) if head else []
 
 
 def match_row(df: DataFrame) -> Column:
@@ -172,11 +223,32 @@ def match_row(df: DataFrame) -> Column:
     return F.format_string("[%d, %d, %.7f, %s, %d..%d, %d..%d, %.8f, %d]", one("idx1"), one("idx2"), "score", distance, one("seq1_min"), one("seq1_max"), one("seq2_min"), one("seq2_max"), "variance", "cluster_size")
 
 
+def match_lines(matches: DataFrame) -> DataFrame:
+    """(genome1, genome2, idx1, idx2, value): the lines of all match files; the first of a pair of genomes opens its file and the last one closes it."""
+    w = Window.partitionBy("genome1", "genome2").orderBy("idx1", "idx2")
+    rows = matches.select("genome1", "genome2", "idx1", "idx2", match_row(matches).alias("row"), F.row_number().over(w).alias("n"), F.lead(F.lit(1)).over(w).alias("more"))
+    head = F.when(F.col("n") == 1, F.concat(F.lit("# AllAll of "), "genome1", F.lit(" vs "), "genome2", F.lit(";\nRefinedMatches(\n["))).otherwise("")
+    return rows.select("genome1", "genome2", "idx1", "idx2", F.concat(head, "row", F.when(F.col("more").isNull(), " ]):").otherwise(",")).alias("value"))
+
+
 def write_matches(matches: DataFrame, path: str) -> None:
-    """A folder for each pair of genomes with its match file; earlier output is replaced."""
-    rows = matches.withColumn("row", match_row(matches)).groupBy("genome1", "genome2").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx1", "idx2", "row"))), lambda r: r["row"]), ",\n").alias("rows"))
-    text = F.concat(F.lit("# AllAll of "), "genome1", F.lit(" vs "), "genome2", F.lit(";\nRefinedMatches(\n["), "rows", F.lit(" ]):"))
-    rows.select("genome1", "genome2", text.alias("value")).write.mode("overwrite").partitionBy("genome1", "genome2").text(path)
+    """A file path/genome1/genome2 for each pair of genomes; earlier output is replaced. Rows stream through a sort; the driver only renames files."""
+    spark = matches.sparkSession
+    parts = f"{path.rstrip('/')}.parts"
+    lines = match_lines(matches).repartition("genome1", "genome2").sortWithinPartitions("genome1", "genome2", "idx1", "idx2")
+    lines.withColumns({"__1": F.col("genome1"), "__2": F.col("genome2")}).select("value", "__1", "__2").write.mode("overwrite").partitionBy("__1", "__2").text(parts)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(Path(path), True)
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for one in fs.listStatus(Path(parts)):
+        if one.isDirectory():
+            for two in fs.listStatus(one.getPath()):
+                name1, name2 = (unescape(x.getPath().getName().partition("=")[2]) for x in (one, two))
+                fs.mkdirs(Path(f"{path}/{name1}"))
+                file = next(f.getPath() for f in fs.listStatus(two.getPath()) if f.getPath().getName().startswith("part-"))
+                fs.rename(file, Path(f"{path}/{name1}/{name2}"))
+    fs.delete(Path(parts), True)
 
 
 def read_matches(spark: SparkSession, path: str, min_score: float | None = None) -> DataFrame:
@@ -184,8 +256,10 @@ def read_matches(spark: SparkSession, path: str, min_score: float | None = None)
     number = r"([-0-9.e+]+)"
     pattern = rf"\[?\[(\d+), (\d+), {number}, {number}, (\d+)\.\.(\d+), (\d+)\.\.(\d+), {number}(?:, (\d+))?\]"
     get = lambda k, t: F.regexp_extract("value", pattern, k).cast(t)
-    rows = spark.read.text(path).where(F.col("value").rlike(pattern))
+    place = F.regexp_replace("_metadata.file_path", "/part-[^/]*$", "")  # path/genome1/genome2, or folders of that name
+    genome = lambda k: F.regexp_replace(F.url_decode(F.replace(F.element_at(F.split("file", "/"), k), F.lit("+"), F.lit("%2B"))), r"^genome\d=", "")
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select("value", place.alias("file")).where(F.col("value").rlike(pattern))
     names = (("seq1", 1, "int"), ("seq2", 2, "int"), ("score", 3, "double"), ("distance", 4, "double"), ("a1", 5, "int"), ("b1", 6, "int"), ("a2", 7, "int"), ("b2", 8, "int"), ("variance", 9, "double"))
-    out = rows.select(F.lower("genome1").alias("genome1"), F.lower("genome2").alias("genome2"), *[get(k, t).alias(n) for n, k, t in names], F.expr("try_cast(regexp_extract(value, '" + pattern.replace("\\", "\\\\") + "', 10) as int)").alias("cluster_size"))
+    out = rows.select(F.lower(genome(-2)).alias("genome1"), F.lower(genome(-1)).alias("genome2"), *[get(k, t).alias(n) for n, k, t in names], F.expr("try_cast(regexp_extract(value, '" + pattern.replace("\\", "\\\\") + "', 10) as int)").alias("cluster_size"))
     out = out if min_score is None else out.where(F.col("score") >= min_score)
     return out.withColumn("score", F.col("score").cast("int"))

@@ -1,4 +1,6 @@
+import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ import __spark_entry__ as entry
 from homolark.functions import matrices as M
 from homolark.operators import clustering as C
 from homolark.operators import evaluation as V
+from homolark.plans import program
 from homolark.sources import genomes as G
 from homolark.streaming.incremental import cluster_stream
 
@@ -59,9 +62,15 @@ def test_clusters_round_trip(spark, tmp_path):
     seqs = spark.createDataFrame([(i, f"g{i // 2}", i % 2, "A") for i in range(5)], "abs_id int, genome string, genome_index int, seq string")
     clusters = spark.createDataFrame([(0, [3, 1]), (1, [4]), (2, [0, 2, 4])], "pos int, members array<long>")
     G.write_clusters(clusters, seqs, str(tmp_path / "c"), ["a.fa", "b.fa"])
-    back, names = G.read_clusters(spark, str(tmp_path / "c"))
+    with gzip.open(tmp_path / "c.gz", "rt") as f:
+        doc = json.load(f)
+    assert doc["datasets"] == ["a.fa", "b.fa"] and [[m["AbsoluteIndex"] for m in c] for c in doc["clusters"]] == [[3, 1], [4], [0, 2, 4]]
+    assert doc["clusters"][0][0] == {"Genome": "g1", "Index": 1, "AbsoluteIndex": 3} and len(list(tmp_path.glob("c*"))) == 1
+    G.write_clusters(clusters.where("pos > 9"), seqs, str(tmp_path / "none"), [])
+    assert G.read_clusters(spark, str(tmp_path / "none.gz"))[0].count() == 0
+    back, names = G.read_clusters(spark, str(tmp_path / "c.gz"))
     assert sorted((r.pos, list(r.members)) for r in back.collect()) == [(0, [3, 1]), (1, [4]), (2, [0, 2, 4])] and names == ["a.fa", "b.fa"]
-    (tmp_path / "prior.json").write_text(json.dumps({"datasets": ["d"], "clusters": [[{"Genome": "g", "Index": 0, "AbsoluteIndex": 7}]]}))
+    (tmp_path / "prior.json").write_text(json.dumps({"datasets": ["d"], "clusters": [[{"Genome": "g", "Index": 0, "AbsoluteIndex": 7}]]}, indent=2))
     back, names = G.read_clusters(spark, str(tmp_path / "prior.json"))
     assert [(r.pos, list(r.members)) for r in back.collect()] == [(0, [7])] and names == ["d"]
 
@@ -70,6 +79,10 @@ def test_matches_round_trip(spark, tmp_path):
     rows = [("Ga", "gb", 0, 1, 0, 9, 2, 11, 181.98765432, 51.4, 2.5, 4), ("Ga", "gb", 2, 3, 5, 9, 1, 7, 117.0, 7.12345678, 0.5, 2), ("Ga", "gc", 0, 0, 0, 1, 0, 1, 300.0, 0.05, 1.0, 2)]
     m = spark.createDataFrame(rows, "genome1 string, genome2 string, idx1 int, idx2 int, seq1_min int, seq1_max int, seq2_min int, seq2_max int, score double, distance double, variance double, cluster_size int")
     G.write_matches(m, str(tmp_path / "m"))
+    lines = (tmp_path / "m" / "Ga" / "gb").read_text().splitlines()
+    assert lines[:3] == ["# AllAll of Ga vs gb;", "RefinedMatches(", "[[1, 2, 181.9876543, 51, 1..10, 3..12, 2.50000000, 4],"] and lines[3].endswith("2] ]):") and len(lines) == 4
+    G.write_matches(m, str(tmp_path / "m"))  # replaces
+    assert not (tmp_path / "m.parts").exists()
     back = sorted(map(tuple, G.read_matches(spark, str(tmp_path / "m")).collect()))
     assert back == [("ga", "gb", 1, 2, 181, 51.0, 1, 10, 3, 12, 2.5, 4), ("ga", "gb", 3, 4, 117, 7.1235, 6, 10, 2, 8, 0.5, 2), ("ga", "gc", 1, 1, 300, 0.05, 1, 2, 1, 2, 1.0, 2)]
     assert G.read_matches(spark, str(tmp_path / "m"), 181).count() == 2
@@ -93,6 +106,46 @@ def test_length_guard(spark):
         C.checked(df).collect()
 
 
+def test_agd_written_and_read(spark, tmp_path):
+    seqs = spark.createDataFrame([(i, f"m{i}" if i % 3 else None, "ACDW" * (i % 4)) for i in range(25)], "ordinal long, meta string, seq string")
+    manifest = G.write_agd(seqs, str(tmp_path / "agd"), "set", rows=7)
+    rows = G.read_genomes(spark, manifest).orderBy("abs_id").collect()
+    assert [(r.genome, r.meta, r.seq) for r in rows] == [("set", f"m{i}" if i % 3 else "", "ACDW" * (i % 4)) for i in range(25)]
+
+
+def test_large_fasta_is_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "big.fa").write_text("".join(f">r{i}\n{'MKVL' * (i % 7 + 1)}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = G.read_fasta(spark, str(tmp_path / "big.fa"))
+        assert df.select("genome_index", F.expr("'r' || genome_index = meta").alias("ok")).where("ok").distinct().count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_whole_run(spark, tmp_path):
+    r = random.Random(5)
+    base = ["".join(r.choice(M.ORDER) for _ in range(90)) for _ in range(3)]
+    vary = lambda s: "".join(c if r.random() > 0.1 else r.choice(M.ORDER) for c in s)
+    for g in "abc":
+        (tmp_path / f"{g}.fa").write_text("".join(f">{g}{i}\n{vary(base[i % 3])}\n" for i in range(4)))
+    params = M.Params(min_score=117)
+    with program.queue_log(spark, str(tmp_path / "queue.json"), 0.05) as samples:
+        got = program.run(spark, [str(tmp_path / f"{g}.fa") for g in "ab"], str(tmp_path / "out"), params, group="whole")
+    assert len(samples) > 2 and json.loads((tmp_path / "queue.json").read_text()) == samples
+    assert got.counters["sequences"] == 8 and got.counters["matches"] == got.matches.count() <= got.counters["full_alignments"]
+    files = {str(p.relative_to(tmp_path / "out/matches")) for p in (tmp_path / "out/matches").glob("*/*") if not p.name.startswith(".")}
+    assert files <= {"a/a", "a/b", "b/b"} and "a/b" in files
+    back = G.read_matches(spark, str(tmp_path / "out/matches"))
+    assert back.count() == got.matches.count() > 3
+    more = program.run(spark, [str(tmp_path / "c.fa")], str(tmp_path / "more"), params, prior=str(tmp_path / "out/clusters.json.gz"), duplicate_threshold=0)
+    assert more.counters["sequences"] == 12 and {i for x in more.clusters.collect() for i in x.members} == set(range(12))
+    assert G.read_clusters(spark, str(tmp_path / "more/clusters.json.gz"))[1] == [str(tmp_path / f"{g}.fa") for g in "abc"]
+    alone = program.run(spark, [str(tmp_path / "c.fa")], str(tmp_path / "alone"), params, only_clusters=True)
+    assert alone.matches.count() == 0 and not (tmp_path / "alone/matches").exists()
+    program.cancel(spark, "whole")
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     schema = "genome string, genome_index int, meta string, seq string"
