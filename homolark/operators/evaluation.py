@@ -67,7 +67,7 @@ def totals(seqs: DataFrame, *by: str) -> DataFrame:
 
 def residues(seqs: DataFrame) -> DataFrame:
     """How often each letter stands in all sequences."""
-    counts = [F.sum(F.length("seq") - F.length(F.translate("seq", chr(65 + k), ""))).alias(chr(65 + k)) for k in range(26)]
+    counts = [F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(chr(65 + k)), F.lit("")))).alias(chr(65 + k)) for k in range(26)]
     long = seqs.agg(*counts).unpivot([], [chr(65 + k) for k in range(26)], "residue", "n")
     return long.where("n > 0")
 
