@@ -1,6 +1,10 @@
 """Corpus cleaning in five stages, each on all that the one before kept; every stage is written as Parquet and read again.
 
 Columns of `documents` are kept up to the last stage (n_chars follows the text); packing returns pieces.
+
+Null doc_ids are kept as null and rows that share a doc_id are judged by their texts, as each operator states; a null text has no words and is rejected
+by the first stage. Texts of any length pass whole. Ties go as the operators state, an empty table gives empty stages, and further columns may have
+any name that does not begin with two underscores.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homolark.llm.common import scratch
+from homolark.llm.common import discard, scratch
 from homolark.llm.decontamination import decontaminate
 from homolark.llm.line_dedup import line_dedup
 from homolark.llm.packing import pack
@@ -58,9 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:  # what the next stage has written does not need it any more
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import session
+
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20  # of stored input, a partition
 GROUPS = 2  # buckets a partition, so that few partitions stay empty
@@ -41,10 +43,8 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); sets one only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/homolark-shared"
+    """The cluster's shared folder (spark.checkpoint.dir), where checkpoints go too; only a local session may leave it unset."""
+    found = session.shared_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -60,6 +60,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(Path(path), True)
+
+
 def n_buckets(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """As many partitions as keep each at about `bucket_bytes` of stored input, at least one per shuffle partition."""
     spark = df.sparkSession

@@ -1,15 +1,18 @@
 """Licence scan by a trained paragraph classifier.
 
-Paragraphs (non-blank lines) are classified by multinomial logistic regression over hashed word 1- to 3-grams into licence
+Paragraphs (parted by blank lines) are classified by multinomial logistic regression over hashed word 1- to 3-grams into licence
 families and an unknown class. It is trained here: positives are the families' templates with drawn-in variations;
-negatives are a bounded sample of the corpus' own paragraphs that hold no template: of evenly spread ones (some 400 from
-each batch that a task reads) the `NEGATIVES` with the lowest hashes, a documented bound. Probabilities are calibrated by a temperature fitted on held-out paragraphs, and a window is
+negatives are a bounded sample of the corpus' own paragraphs that hold no template: of about `SAMPLED` documents by hash of the text up to `EACH` windows
+by hash, of these the `NEGATIVES` with the lowest hashes, documented bounds that do not depend on how files are split. Probabilities are calibrated by a
+temperature fitted on held-out paragraphs, and a window is
 searched if the families together reach `CONFIDENT` (notices of two families share the probability). Then templates decide, each family
 for itself: five-word shingles (all words if fewer) of a template found in one place at `CONFIRM` or more. A long paragraph is
-classified by windows of `SPAN` words with half overlap. Each place is a notice, so a line may hold several; `probability` is
-that of the families together, in the surest window that the place touches.
+classified by windows of `SPAN` words with half overlap. Each place is a notice, at the line where it begins, so a line may hold several and a notice may be
+wrapped over lines; `probability` is that of the families together, in the surest window that the place touches.
 
-Output has a row per document. Null text has no paragraphs. Rows are judged independently.
+Output has a row per document. Null text has no paragraphs; texts of any length are read whole. Rows are judged independently, repeated ones alike; a null
+doc_id is carried as null. Equal hashes in the sample go in order of the text. An empty table gives an empty result, and columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,14 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0."),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the GNU Affero General Public License, version 3."),
+    "LGPL-3.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Licensed under the GNU Lesser General Public License, version 3."),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
     "All-rights-reserved": ("All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
 FAMILIES = ("unknown", *TEMPLATES)
@@ -40,6 +52,7 @@ FILLER = "please note that the following text is made available by its authors a
 BITS = 15
 SPAN = 16
 NEGATIVES = 20_000
+SAMPLED, EACH = 4_000, 12
 CONFIDENT = 0.8
 CONFIRM = 0.8
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -66,7 +79,7 @@ def grams(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Paragraphs:
-    """Windows of up to SPAN words of all non-blank lines of a batch of texts."""
+    """Windows of up to SPAN words of all paragraphs of a batch of texts."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         low = LOWER[data] if len(data) else data
@@ -78,7 +91,7 @@ class Paragraphs:
         row = np.repeat(np.arange(len(off) - 1), np.diff(first))
         line = np.searchsorted(nl, s)
         fresh = np.ones(len(s), bool)
-        fresh[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
+        fresh[1:] = (line[1:] - line[:-1] > 1) | (row[1:] != row[:-1])
         w0 = np.flatnonzero(fresh)
         n = np.diff(np.append(w0, len(s)))
         per = np.maximum(1, -(-(n - SPAN // 2) // (SPAN // 2)))
@@ -86,8 +99,8 @@ class Paragraphs:
         self.lo = np.repeat(w0, per) + k * (SPAN // 2)
         self.begin, self.end = np.repeat(w0, per), np.repeat(w0 + n, per)
         self.hi = np.minimum(self.lo + SPAN, self.end)
-        self.row, self.line = row[self.lo] if len(self.lo) else self.lo, line[self.lo] if len(self.lo) else self.lo
-        self.line = self.line - np.searchsorted(nl, off[self.row]) if len(self.lo) else self.line
+        self.row = row[self.lo] if len(self.lo) else self.lo
+        self.feeds, self.before = nl, np.searchsorted(nl, off)
         self.paragraph = np.repeat(np.arange(len(w0)), per)
         self.starts, self.ends, self.data = s, e, data
         self.of_row = np.bincount(row[w0], minlength=len(off) - 1) if len(w0) else np.zeros(len(off) - 1, np.int64)
@@ -99,6 +112,10 @@ class Paragraphs:
         found = list(_WORD.finditer(self.data[self.starts[a] : self.ends[b - 1]].tobytes().decode("latin-1").lower()))  # a character a byte
         return [m[0] for m in found], *(self.starts[a] + np.array([getattr(m, x)() for m in found], np.int64) for x in ("start", "end"))
 
+    def line(self, row: int, place: int) -> int:
+        """Number of the line of a text that a place in the data is in."""
+        return int(np.searchsorted(self.feeds, place) - self.before[row])
+
     def text(self, i: int) -> str:
         """A window's paragraph, as far as a template that touches the window may reach."""
         a, b = max(self.begin[i], self.lo[i] - LONGEST), min(self.end[i], self.hi[i] + LONGEST)
@@ -236,16 +253,24 @@ def variations(seed: int = 11, each: int = 300) -> tuple[list[str], list[int]]:
 
 
 def _negatives(batches):
+    """Of each text up to EACH windows that hold no template, those with the lowest hashes."""
     for x in batches:
-        data, off = utf8(x.column(0))
-        p = Paragraphs(data, off)
-        t = [p.text(i) for i in range(0, len(p.lo), 1 + len(p.lo) // 400)]
-        t = [s for s in t if all(confirms(s, f) < 0.5 for f in TEMPLATES)]
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"])
+        p = Paragraphs(*utf8(x.column(0)))
+        raw = memoryview(np.ascontiguousarray(p.data))
+        bounds = np.searchsorted(p.row, np.arange(x.num_rows + 1))
+        out = []
+        for r in range(x.num_rows):
+            own = sorted(range(bounds[r], bounds[r + 1]), key=lambda i: xxhash.xxh3_64_intdigest(raw[p.starts[p.lo[i]] : p.ends[p.hi[i] - 1]]))  # noqa: B023
+            out += [t for t in map(p.text, own[:EACH]) if all(confirms(t, f) < 0.5 for f in TEMPLATES)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
 
 
 def train(texts: DataFrame, negatives: int = NEGATIVES) -> Classifier:
-    rows = texts.mapInArrow(_negatives, "text string").orderBy(F.xxhash64("text"), "text").limit(negatives).toArrow()["text"].to_pylist()
+    total = texts.count()
+    share = min(1.0, SAMPLED / total) if total else 1.0
+    some = texts.where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= int(share * ((1 << 63) - 1024))).distinct()
+    rows = some.mapInArrow(_negatives, "text string").distinct().toArrow()["text"].to_pylist()  # about SAMPLED * EACH windows at most
+    rows = sorted(rows, key=lambda t: (xxhash.xxh3_64_intdigest(t.encode()), t))[:negatives]
     pos, y = variations()
     model = Classifier()
     model.fit(pos + rows, np.array(y + [0] * len(rows)))
@@ -279,7 +304,7 @@ def _scan(model):
                 w, start, end = p.region(i)
                 for family, u, v, share in places(w):
                     if start[u] < p.ends[p.hi[i] - 1] and end[v - 1] > p.starts[p.lo[i]]:
-                        found.setdefault(int(p.row[i]), {}).setdefault((int(p.line[i]), family), []).append((int(start[u]), int(end[v - 1]), float(sure[i]), share))
+                        found.setdefault(int(p.row[i]), {}).setdefault((p.line(p.row[i], start[u]), family), []).append((int(start[u]), int(end[v - 1]), float(sure[i]), share))
             marks = [_notices(found.get(r, {})) for r in range(x.num_rows)]
             struct = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("agreement", pa.float64())]))
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(p.of_row.astype(np.int64)), pa.array(marks, struct)], names=["doc_id", "n_paragraphs", "notices"])

@@ -353,4 +353,4 @@ def line_dedup(docs: DataFrame, *carry: str) -> DataFrame:
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_lines", "n_removed", F.transform("removed", lambda r: r["line"]).alias("removed_lines"), F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda r: r["line"].cast("string")), ",").alias("removed_lines"), F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))

@@ -1,15 +1,18 @@
 """URL filter: allow and block rules by host and path, and gradient-boosted trees for the rest.
 
 A rule fits a host and its subdomains if the path starts with the rule's; the longest one wins. Rules are indexed by host suffix and path prefix, so a
-URL looks up its own suffixes instead of every rule. URLs that a rule fits are the labelled ones: a bounded
-sample of them (`SAMPLE` rows with the lowest hash of the URL, a documented bound) trains the trees; all other URLs get the
-trees' verdict.
+URL looks up its own suffixes instead of every rule. The trees are trained from labelled URLs that the caller gives; without them, the
+URLs that a rule fits are the labelled ones. A bounded sample trains them: of the distinct URLs those whose hash lies in the share `SAMPLE` /
+number of rows, so about `SAMPLE` at most, a documented bound. All URLs that no rule fits get the trees' verdict.
 
 Features are lexical: lengths, path depth, digit and upper-case ratios, entropy, parameter count, punctuation, and
-how often the host's last labels (hashed) were blocked in training. Trees are histogram-based with second-order gain.
+how often the host's last labels (hashed) were blocked in training; a training URL's statistic comes from other hosts' folds than its own. What the
+rules look at themselves, the last label and the first segment, is no feature. Trees are histogram-based with second-order gain. A fifth of the hosts
+is held out; `held_out` has the number of their URLs, the share judged right and the share of the larger class.
 
 Null or malformed URLs have empty host and path, no rule, and are judged by the trees like any other. Without
-labelled URLs of both kinds the verdict is the majority label, or allow if there is none.
+labelled URLs of both kinds the verdict is the majority label, or allow if there is none; a tie at a probability of one half allows. URLs of any length are
+read whole, rows are judged one by one (repeated ones alike), an empty table gives an empty result, and columns other than page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -73,12 +76,10 @@ def features(url: str | None) -> list[float]:
     query = u.partition("?")[2]
     n = max(1, len(u))
     words = _WORDS.findall(path)
-    first = path.split("/")[1] if path.startswith("/") else ""
     return [
         len(u), len(host), len(path), len(query), path.count("/"), host.count("."), query.count("=") + query.count("&"),
         sum(c.isdigit() for c in u) / n, sum(c.isdigit() for c in path), sum(c.isupper() for c in u) / n, u.count("-"), u.count("_") + u.count("%"),
-        _entropy(u), _entropy(host), float("#" in u), float(u.startswith("https")), max(map(len, words), default=0), len(words), len(first),
-        float(zlib.crc32(first.encode()) % 256), float(zlib.crc32(host.rpartition(".")[2].encode()) % 256),
+        _entropy(u), _entropy(host), float("#" in u), float(u.startswith("https")), max(map(len, words), default=0), len(words),
         float(zlib.crc32(".".join(host.split(".")[-2:]).encode()) % SUFFIXES),
     ]
 
@@ -94,16 +95,17 @@ class Boosted:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     base: float
     suffix: np.ndarray
+    held_out: tuple[int, float, float] | None = None
 
-    def _bins(self, x: np.ndarray) -> np.ndarray:
+    def _bins(self, x: np.ndarray, statistic: np.ndarray | None = None) -> np.ndarray:
         x = x.copy()
-        x[:, -1] = self.suffix[x[:, -1].astype(int)]
+        x[:, -1] = self.suffix[x[:, -1].astype(int)] if statistic is None else statistic
         return np.column_stack([np.searchsorted(e, x[:, k], "right") for k, e in enumerate(self.edges)])
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
+    def margin(self, x: np.ndarray, bins: np.ndarray | None = None) -> np.ndarray:
         if not len(x):
             return np.zeros(0)
-        b, out = self._bins(x), np.full(len(x), self.base)
+        b, out = self._bins(x) if bins is None else bins, np.full(len(x), self.base)
         rows = np.arange(len(x))
         for feature, cut, left, value in self.trees:
             node = np.zeros(len(x), int)
@@ -114,17 +116,27 @@ class Boosted:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, least: int = 5, bins: int = 64) -> Boosted:
-    """Logistic boosting; y is 1 for block."""
+FOLDS = 5
+
+
+def _statistic(at: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Share of block among the rows of each suffix, drawn towards the whole share."""
+    return (np.bincount(at, y, SUFFIXES) + share * 10) / (np.bincount(at, minlength=SUFFIXES) + 10)
+
+
+def fit(x: np.ndarray, y: np.ndarray, hosts: np.ndarray | None = None, rounds: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, least: int = 5, bins: int = 64) -> Boosted:
+    """Logistic boosting; y is 1 for block. hosts: a number for each row; rows of a number share a fold."""
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
         return Boosted([np.zeros(0)] * x.shape[1] if x.ndim == 2 else [], [], 1.0 if share == 1 else -1.0, np.zeros(SUFFIXES))
     at = x[:, -1].astype(int)
-    model = Boosted([], [], float(np.log(share / (1 - share))), (np.bincount(at, y, SUFFIXES) + share * 10) / (np.bincount(at, minlength=SUFFIXES) + 10))
+    model = Boosted([], [], float(np.log(share / (1 - share))), _statistic(at, y, share))
     z = x.copy()
-    z[:, -1] = model.suffix[at]
+    fold = (np.arange(len(y)) if hosts is None else hosts) % FOLDS
+    for f in range(FOLDS):
+        z[fold == f, -1] = _statistic(at[fold != f], y[fold != f], share)[at[fold == f]]
     model.edges = [np.unique(np.quantile(z[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(z.shape[1])]
-    b = model._bins(x)
+    b = model._bins(x, z[:, -1])
     score = np.full(len(y), model.base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
@@ -154,7 +166,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
             level = nxt
         tree = (np.array(feature), np.array(cut), np.array(left), np.array(value))
         model.trees.append(tree)
-        score = score + Boosted(model.edges, [tree], 0.0, model.suffix).margin(x)
+        score = score + Boosted(model.edges, [tree], 0.0, model.suffix).margin(x, b)
     return model
 
 
@@ -162,25 +174,37 @@ def matrix(urls) -> np.ndarray:
     return np.array([features(u) for u in urls], float).reshape(len(urls), N_FEATURES)
 
 
-def train(urls: DataFrame, rules=RULES, sample: int = SAMPLE) -> Boosted:
-    """Trees from the `sample` labelled URLs with the lowest hashes (column url)."""
+def train(urls: DataFrame, rules=RULES, sample: int = SAMPLE, labelled: DataFrame | None = None) -> Boosted:
+    """Trees from a sample of labelled URLs: (url, block boolean), or those of `urls` that a rule fits."""
 
-    def labelled(batches):
+    def by_rule(batches):
         own = Rules(rules)
         for pdf in batches:
             verdicts = [own.match(*parts(u))[1] for u in pdf["url"]]
             yield pd.DataFrame({"url": pdf["url"], "block": [v == "block" for v in verdicts]})[[v is not None for v in verdicts]]
 
-    rows = urls.select("url").mapInPandas(labelled, "url string, block boolean").orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-    return fit(matrix([r.url for r in rows]), np.array([r.block for r in rows], float))
+    known = urls.select("url") if labelled is None else labelled.select(F.col("url").cast("string").alias("url"), F.col("block").cast("boolean").alias("block")).where("url is not null and block is not null")
+    total = known.count()
+    share = min(1.0, sample / total) if total else 1.0
+    known = known.where(F.shiftrightunsigned(F.xxhash64("url"), 1) <= int(share * ((1 << 63) - 1024))).distinct()
+    rows = known.mapInPandas(by_rule, "url string, block boolean") if labelled is None else known
+    rows = sorted((r.url or "", bool(r.block)) for r in rows.collect())  # about `sample` rows at most
+    host = np.array([zlib.crc32(parts(u)[0].encode()) for u, _ in rows], np.int64)
+    x, y = matrix([u for u, _ in rows]), np.array([v for _, v in rows], float)
+    held = host // FOLDS % 5 == 0
+    model = fit(x[~held], y[~held], host[~held])
+    if held.any():
+        right = ((model.margin(x[held]) > 0) == (y[held] > 0)).mean()
+        model.held_out = int(held.sum()), float(right), float(max(y[held].mean(), 1 - y[held].mean()))
+    return model
 
 
-def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    """pages (page_id, url) with host, path, rule, verdict and p_block (null where a rule decides)."""
+def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, labelled: DataFrame | None = None) -> DataFrame:
+    """pages (page_id, url) with host, path, rule, verdict and p_block (null where a rule decides); labelled: (url, block) to train from."""
     spark = pages.sparkSession
     tune(spark)
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    model = spark.sparkContext.broadcast(train(some, rules, sample))
+    model = spark.sparkContext.broadcast(train(some, rules, sample, labelled))
 
     def run(batches):
         own = Rules(rules)
