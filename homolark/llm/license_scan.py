@@ -200,7 +200,8 @@ def confirms(text: str, family: str) -> float:
 
 
 def places(w: list[str]) -> list[tuple[str, int, int, float]]:
-    """(family, first word, word after the last, share of shingles) wherever a template agrees; places of a family may overlap."""
+    """(family, first word, word after the last, share of shingles) wherever a template agrees; places of a family may overlap, of families only in a tie: the larger share
+    goes before, as related licences share much of their wording."""
     at: dict[int, list] = {}
     out = []
     for family, templates in SHINGLES.items():
@@ -229,7 +230,11 @@ def places(w: list[str]) -> list[tuple[str, int, int, float]]:
                     seen.add(own[i])
                 out.append((family, span[0], span[-1] + n, len(seen) / len(need)))
                 k += len(span)
-    return out
+    kept: list[tuple[str, int, int, float]] = []
+    for x in sorted(out, key=lambda x: -x[3]):
+        if all(x[0] == y[0] or x[3] == y[3] or x[1] >= y[2] or y[1] >= x[2] for y in kept):
+            kept.append(x)
+    return kept
 
 
 def variations(seed: int = 11, each: int = 300) -> tuple[list[str], list[int]]:
