@@ -142,6 +142,16 @@ class Classifier:
         z = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
         return z / z.sum(1, keepdims=True) if len(z) else z
 
+    def _sums(self, p: Paragraphs, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Logits of some paragraphs before the temperature, with their features, whose each is, and the paragraphs' scales."""
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        f, who = p.features[at].ravel(), np.repeat(np.repeat(np.arange(len(n)), n), 3)
+        scale = (1 / np.sqrt(n)).astype(np.float32)
+        z = np.zeros((len(n), len(FAMILIES)), np.float32)
+        np.add.at(z, who, self.w[f])
+        return z * scale[:, None] + self.b, f, who, scale
+
     def fit(self, texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5) -> None:
         """Minibatch AdaGrad; a fifth is held out to fit the temperature."""
         p = Paragraphs(*utf8(pa.array([t.replace("\n", " ") for t in texts])))
@@ -154,13 +164,7 @@ class Classifier:
             self.rng.shuffle(train)
             for a in range(0, len(train), 256):
                 i = train[a : a + 256]
-                n = hi[i] - lo[i]
-                at = np.repeat(lo[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                f, who = p.features[at].ravel(), np.repeat(np.repeat(np.arange(len(i)), n), 3)
-                scale = (1 / np.sqrt(n)).astype(np.float32)
-                z = np.zeros((len(i), len(FAMILIES)), np.float32)
-                np.add.at(z, who, self.w[f])
-                z = z * scale[:, None] + self.b
+                z, f, who, scale = self._sums(p, lo[i], hi[i])
                 z = np.exp(z - z.max(1, keepdims=True))
                 z /= z.sum(1, keepdims=True)
                 z[np.arange(len(i)), y[i]] -= 1
@@ -173,8 +177,8 @@ class Classifier:
                 grad2[u] += d * d
                 self.w[u] -= rate * d / np.sqrt(grad2[u])
                 self.w[-1] = 0
-        p.lo, p.hi = lo[held], hi[held]
-        z, t = self.logits(p), y[held]
+        held = np.flatnonzero(held)
+        z, t = np.concatenate([np.zeros((0, len(FAMILIES))), *(self._sums(p, lo[i], hi[i])[0] for i in np.array_split(held, 1 + len(held) // 256))]), y[held]
         loss = lambda s: float(np.mean(np.log(np.exp((z - z.max(1, keepdims=True)) / s).sum(1)) - ((z - z.max(1, keepdims=True)) / s)[np.arange(len(t)), t])) if len(t) else 0.0
         self.scale = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0), key=loss)
 
