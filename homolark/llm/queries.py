@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, line_dedup, packing, ppm_scoring, quality_rules, simhash_dedup, substring_dedup, token_store, url_filter
+from . import decontamination, license_scan, line_dedup, packing, ppm_scoring, quality_rules, simhash_dedup, spelling_variants, substring_dedup, token_store, url_filter, vector_codes
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_spelling_variants": spelling_variants.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
