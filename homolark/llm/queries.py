@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, line_dedup, packing, ppm_scoring, quality_rules, simhash_dedup, spelling_variants, substring_dedup, token_store, url_filter, vector_codes
+from . import decontamination, license_scan, line_dedup, packing, ppm_scoring, quality_rules, simhash_dedup, spelling_variants, substring_dedup, token_store, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLES = {
