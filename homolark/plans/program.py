@@ -53,11 +53,11 @@ def run(spark: SparkSession, paths: list[str], out: str, params: Params = Params
     empty = spark.createDataFrame([], C.MATCH)
     if only_clusters:
         return Result(seqs, clusters, empty, counters, seconds | {"total": time.perf_counter() - began})
-    asked, found = Observation("pairs"), Observation("matches")
-    pairs = C.candidate_pairs(clusters, seqs).observe(asked, F.count(F.lit(1)).alias("n"))
-    matches = C.cut(C.matches(pairs, seqs, params, log_pam1).observe(found, F.count(F.lit(1)).alias("n")))
+    counted = Observation("alignments")
+    pairs = C.candidate_pairs(clusters, seqs)
+    matches = C.cut(C.matches(pairs, seqs, params, log_pam1, counted))
     G.write_matches(matches, f"{out}/matches")
-    counters |= {"full_alignments": asked.get["n"], "matches": found.get["n"]}
+    counters |= counted.get
     return Result(seqs, clusters, matches, counters, seconds | {"total": time.perf_counter() - began})
 
 

@@ -16,9 +16,10 @@ from ..functions.matrices import GAP_EXTEND, GAP_OPEN, Environment, Params, blos
 from ..operators import clustering as C
 from ..operators import evaluation as V
 from ..operators.merging import Cluster, meet, schedule
-from ..sources.genomes import match_row, numbered, pack_bases, read_clusters, read_fasta, read_genomes, read_matches, unpack_bases, write_agd, write_clusters, write_fasta, write_matches
+from ..sources.genomes import genome_sizes, match_row, numbered_on, pack_bases, read_clusters, read_fasta, read_genomes, read_matches, unpack_bases, write_agd, write_clusters, write_fasta, write_matches
 from . import alignment_sql as A
-from .session import shared_dir
+from . import merge_sql as G
+from .session import cut, shared_dir
 
 PARAMS = Params(min_score=181, min_full_merge_score=250.0)  # prose is of low complexity for a protein matrix
 
@@ -27,21 +28,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sequences(spark, sf_dir) -> DataFrame:
+def _letters(text: str = "text") -> F.Column:
+    return F.coalesce(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), F.lit(""))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    sizes = genome_sizes(rows).select("genome", F.col("genome_size").cast("int").alias("genome_size"))
+    return rows.join(sizes, "genome").select("abs_id", "genome", "genome_size", "genome_index", "meta", "seq", "len")
+
+
+def unnumbered(spark, sf_dir) -> DataFrame:
     """documents as genomes by source."""
     d = table(spark, sf_dir, "documents")
-    seq = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    own = d.select("doc_id", F.coalesce("source", F.lit("")).alias("genome"), F.coalesce(seq, F.lit("")).alias("seq"))
-    index = F.row_number().over(Window.partitionBy("genome").orderBy("doc_id")) - 1
-    return numbered(own.withColumn("genome_index", index).withColumn("meta", F.col("doc_id").cast("string")))
+    own = d.select("doc_id", F.coalesce("source", F.lit("")).alias("genome"), F.col("doc_id").cast("string").alias("meta"), _letters().alias("seq"))
+    return own.withColumn("len", F.length("seq"))
+
+
+def sequences(spark, sf_dir) -> DataFrame:
+    return _sized(numbered_on(unnumbered(spark, sf_dir), "doc_id"))
 
 
 def items(spark, sf_dir) -> DataFrame:
     """benchmark as genomes of eight items."""
     b = table(spark, sf_dir, "benchmark")
-    own = b.select("item_id", F.concat(F.lit("g"), F.floor(F.col("item_id") / 8)).alias("genome"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
-    index = F.row_number().over(Window.partitionBy("genome").orderBy("item_id")) - 1
-    return numbered(own.withColumn("genome_index", index).withColumn("meta", F.col("item_id").cast("string")))
+    own = b.select("item_id", F.concat(F.lit("g"), F.floor(F.col("item_id") / 8)).alias("genome"), F.col("item_id").cast("string").alias("meta"), _letters().alias("seq"))
+    return _sized(numbered_on(own, "item_id"))
+
+
+def incremental_ids(spark, sf_dir) -> DataFrame:
+    """documents that come in three batches, which cut every genome: ids and indexes go on from batch to batch."""
+    rows, sizes, first, out = unnumbered(spark, sf_dir), None, 0, None
+    for k in range(3):
+        new = cut(numbered_on(rows.where(F.pmod("doc_id", F.lit(3)) == k), "doc_id", known=sizes, first=first).select("doc_id", "genome", "abs_id", "genome_index"))
+        sizes, first = cut(genome_sizes(new, sizes)), first + new.count()
+        out = new if out is None else out.unionByName(new)
+    return out.join(sizes, "genome").select("doc_id", "abs_id", "genome", "genome_index", F.col("genome_size").cast("int").alias("genome_size"))
 
 
 SEQ = """with raw as (select doc_id, coalesce(source, '') as genome, coalesce(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '') as seq from documents),
@@ -222,8 +243,15 @@ def _unsorted(spark, sf_dir) -> DataFrame:
     return a.unionByName(a.where("o_orderkey % 2 = 0").select((F.col("pos") + (1 << 24)).alias("pos"), F.reverse("members").alias("members")))
 
 
-def clusters(spark, sf_dir):
-    return C.cluster(items(spark, sf_dir), PARAMS)
+def clusters(spark, sf_dir, mode: str = "sequential"):
+    return C.cluster(items(spark, sf_dir), PARAMS, mode).select("pos", _text("members").alias("members"))
+
+
+def set_meets_one(spark, sf_dir):
+    """All items but the first as clusters of one, and the first as the cluster that they meet: positional diffs."""
+    s = items(spark, sf_dir).select(F.col("abs_id").cast("long").alias("abs_id"), "seq")
+    left = s.where("abs_id > 0").select((F.col("abs_id") - 1).cast("int").alias("pos"), F.array("abs_id").alias("members"))
+    return C.merge_with_one(left, [0], s, PARAMS)[0].select("pos", _text("added").alias("added"), "fully_merged")
 
 
 def cluster_matches(spark, sf_dir):
@@ -238,11 +266,11 @@ def events_rate(spark, sf_dir):
 
 QUERIES = {
     "sequences_load": lambda s, d: sequences(s, d),
-    "genome_sizes": lambda s, d: V.totals(sequences(s, d), "genome"),
-    "sequence_totals": lambda s, d: V.totals(sequences(s, d)),
-    "residue_histogram": lambda s, d: V.residues(sequences(s, d)),
+    "genome_sizes": lambda s, d: V.totals(unnumbered(s, d), "genome"),
+    "sequence_totals": lambda s, d: V.totals(unnumbered(s, d)),
+    "residue_histogram": lambda s, d: V.residues(unnumbered(s, d)),
     "length_guard": lambda s, d: C.checked(sequences(s, d)).select("abs_id", F.length("seq").alias("len")),
-    "db_lengths": lambda s, d: sequences(s, d).select("len", "meta"),
+    "db_lengths": lambda s, d: unnumbered(s, d).select("len", "meta"),
     "substitution_self_score": lambda s, d: sequences(s, d).select("abs_id", C.self_score(F.col("seq"), blosum62()).alias("self_score")),
     "pair_orientation": pair_orientation,
     "length_constraint": length_constraint,
@@ -250,7 +278,9 @@ QUERIES = {
     "sw_similar_pairs": lambda s, d: C.similar_pairs(items(s, d), PARAMS),
     "query_scan": lambda s, d: (lambda x: C.query_scan(x, x, PARAMS))(items(s, d).select(F.col("abs_id").cast("long").alias("id"), "seq")),
     "clusters_sequential": clusters,
-    "clusters_parallel": lambda s, d: C.cluster(items(s, d), PARAMS, mode="parallel"),
+    "clusters_parallel": lambda s, d: clusters(s, d, "parallel"),
+    "set_meets_one": set_meets_one,
+    "incremental_ids": incremental_ids,
     "cluster_matches": cluster_matches,
     "cluster_dedup_sorted": lambda s, d: C.drop_repeated_clusters(lists(s, d)).select("pos", F.size("members").alias("size")),
     "cluster_size_histogram": lambda s, d: V.size_histogram(lists(s, d)),
@@ -283,6 +313,8 @@ QUERIES = {
     "missed_histogram": _runs(V.missed_histogram),
 }
 
+_MERGE = ITEMS.replace("with raw", "with recursive raw") + ", " + G.edges(_SCALED, blosum62(), int(GAP_OPEN), int(GAP_EXTEND), PARAMS.max_uncovered, PARAMS.min_full_merge_score)
+_LAST = " select (x - 1)::int as pos, array_to_string(q[1][x], ',') as members from done, unnest(range(1, len(q[1]) + 1)) as t(x)"
 _A89 = LISTS + ", e as (select (o_orderkey % 89)::int as pos, list(distinct o_custkey order by o_custkey) as members from orders group by 1)\n"
 ORACLES = {
     "sequences_load": SEQ + "select * from seqs",
@@ -305,6 +337,14 @@ ORACLES = {
     "query_scan": ITEMS.replace("with raw", "with recursive raw") + ", " + ",\n".join([A.CODES, A.pairs("p", "true"), A.aligned("whole", "p", blosum62(), int(GAP_OPEN), int(GAP_EXTEND))])
         + " select x::bigint as query, y::bigint as target, score::double as score from whole",
     "merge_schedule": "select k::int as merge_id, (2 * k)::int as left_item, (2 * k + 1)::int as right_item from (select unnest(range((select count(*) from benchmark) - 1)) as k)",
+    "clusters_sequential": f"{_MERGE}, {G.merged('sequential', G.SINGLES)} {_LAST}",
+    "clusters_parallel": f"{_MERGE}, {G.merged('parallel', G.SINGLES)} {_LAST}",
+    "set_meets_one": f"""{_MERGE}, {G.merged('one', "select [list([abs_id] order by abs_id) filter (abs_id > 0), [[0]]] as q, list(len order by abs_id) as lens from seqs")}
+  select (x - 1)::int as pos, array_to_string(l[x][2:], ',') as added, ld[x] as fully_merged from done, unnest(range(1, len(l) + 1)) as t(x) where len(l[x]) > 1 or ld[x]
+  union all select -1, array_to_string(r[1][2:], ','), false from done where not rd[1]""",
+    "incremental_ids": """with d as (select doc_id, coalesce(source, '') as genome, (doc_id % 3 + 3) % 3 as batch from documents)
+  select doc_id, (row_number() over (order by batch, genome, doc_id) - 1)::int as abs_id, genome, (row_number() over (partition by genome order by batch, doc_id) - 1)::int as genome_index,
+  count(*) over (partition by genome)::int as genome_size from d""",
     "cluster_dedup_sorted": LISTS + "select min(pos) as pos, any_value(len(members))::int as size from c group by members",
     "cluster_size_histogram": LISTS + "select len(members)::int as size, count(*) as n_clusters from c group by 1",
     "biggest_clusters": LISTS + "select pos, len(members)::int as size from c order by size desc, pos limit 5",

@@ -13,6 +13,8 @@ import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 # Fixed values of the chunk format: header layout, kinds of compression, bases per word, codes of bases and of the end.
 HEADER = struct.Struct("<4BHHQQ32s")
 RAW, BZIP2, GZIP = 0, 1, 2
@@ -164,14 +166,42 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(seqs: DataFrame) -> DataFrame:
-    """Adds abs_id (from 0), genome_size and len. Only the per-genome sizes meet in one place; rows are numbered within their genome."""
+    """Adds abs_id (from 0), genome_size and len. Only the per-genome sizes meet in one place; rows are numbered within their genome, whose indexes must run from 0 without gaps.
+
+    Fails where a genome's indexes do not fit their number; `numbered_on` numbers rows that come in parts.
+    """
     key = ["__file", "genome"] if "__file" in seqs.columns else ["genome"]
-    sizes = seqs.groupBy(*key).agg(F.count("*").cast("int").alias("genome_size"))
+    i, n = F.col("genome_index").cast("long"), F.col("genome_size").cast("long")
+    sizes = seqs.groupBy(*key).agg(F.count("*").cast("int").alias("genome_size"), F.min(i).alias("low"), F.max(i).alias("high"), F.sum(i).alias("total"))
+    dense = (F.col("low") == 0) & (F.col("high") == n - 1) & (F.col("total") * 2 == n * (n - 1))
+    sizes = sizes.withColumn("genome_size", F.when(dense, F.col("genome_size")).otherwise(F.raise_error(F.concat(F.lit("indexes have gaps in genome "), "genome")).cast("int")))
     before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("base", F.coalesce(F.sum("genome_size").over(before), F.lit(0)))
     return seqs.join(sizes, key).select((F.col("base") + F.col("genome_index")).cast("int").alias("abs_id"), "genome", "genome_size", "genome_index", "meta", "seq", F.length("seq").alias("len"))
 
 
+def numbered_on(seqs: DataFrame, *order: str, known: DataFrame | None = None, first: int = 0) -> DataFrame:
+    """Adds abs_id (from `first`) and genome_index by the order of (genome, order...), and len; genomes go on from the sizes in `known` (genome, genome_size).
+
+    Whatever indexes the rows have, each gets a number of its own. Rows are ranked by range, so that a genome of any size is spread over many tasks.
+    """
+    rank = ranked(seqs, "genome", *order, name="__rank")
+    start = rank.groupBy("genome").agg(F.min("__rank").alias("__first"))
+    if known is not None:
+        start = start.join(known.select("genome", F.col("genome_size").alias("__size")), "genome", "left")
+    else:
+        start = start.withColumn("__size", F.lit(0))
+    index = F.col("__rank") - F.col("__first") + F.coalesce("__size", F.lit(0))
+    rows = rank.drop("genome_index").join(start, "genome").withColumns({"abs_id": (F.col("__rank") + first).cast("int"), "genome_index": index.cast("int"), "len": F.length("seq")})
+    return rows.drop("__rank", "__first", "__size")
+
+
+def genome_sizes(seqs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(genome, genome_size) of known sizes and further rows."""
+    sizes = seqs.groupBy("genome").agg(F.count("*").alias("genome_size"))
+    return sizes if known is None else known.select("genome", "genome_size").unionByName(sizes).groupBy("genome").agg(F.sum("genome_size").alias("genome_size"))
+
+
 def clusters_document(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
     """(pos, value): each cluster as JSON."""
     each = clusters.select("pos", F.posexplode("members").alias("o", "abs_id")).join(seqs.select("abs_id", "genome", "genome_index"), "abs_id")
@@ -216,9 +246,9 @@ def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
 
 
 def match_row(df: DataFrame) -> Column:
-    """A match as text: places from 1, rounded as its size asks."""
+    """A match as text: places from 1; large distances are cut to whole numbers, smaller ones rounded to four or eight places."""
     d = F.col("distance")
-    distance = F.when(d >= 45, F.format_string("%d", F.round(d).cast("long"))).when(d > 0.1, F.format_string("%.4f", d)).otherwise(F.format_string("%.8f", d))
+    distance = F.when(d >= 45, F.format_string("%d", F.floor(d))).when(d > 0.1, F.format_string("%.4f", d)).otherwise(F.format_string("%.8f", d))
     one = lambda c: F.col(c) + 1
     return F.format_string("[%d, %d, %.7f, %s, %d..%d, %d..%d, %.8f, %d]", one("idx1"), one("idx2"), "score", distance, one("seq1_min"), one("seq1_max"), one("seq2_min"), one("seq2_max"), "variance", "cluster_size")
 

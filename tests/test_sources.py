@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from homolark.functions import matrices as M
+from homolark.functions.alignment import encode, passes
+from homolark.functions.matrices import ORDER, Environments, Params
 from homolark.operators import clustering as C
 from homolark.operators import evaluation as V
 from homolark.plans import program
 from homolark.sources import genomes as G
+from homolark.streaming import incremental
 from homolark.streaming.incremental import cluster_stream
 
 
@@ -133,7 +136,12 @@ def test_whole_run(spark, tmp_path):
     with program.queue_log(spark, str(tmp_path / "queue.json"), 0.05) as samples:
         got = program.run(spark, [str(tmp_path / f"{g}.fa") for g in "ab"], str(tmp_path / "out"), params, group="whole")
     assert len(samples) > 2 and json.loads((tmp_path / "queue.json").read_text()) == samples
-    assert got.counters["sequences"] == 8 and got.counters["matches"] == got.matches.count() <= got.counters["full_alignments"]
+    counters = got.counters
+    assert counters["sequences"] == 8 and counters["matches"] == got.matches.count() <= counters["full_alignments"] <= counters["threshold_alignments"]
+    pairs = C.candidate_pairs(got.clusters, got.sequences).collect()
+    seqs = {r.abs_id: encode(r.seq) for r in got.sequences.collect()}
+    aligned = passes([seqs[r.abs1] for r in pairs], [seqs[r.abs2] for r in pairs], Environments(params).log_pam)
+    assert (counters["threshold_alignments"], counters["full_alignments"]) == (len(pairs), aligned.sum())
     files = {str(p.relative_to(tmp_path / "out/matches")) for p in (tmp_path / "out/matches").glob("*/*") if not p.name.startswith(".")}
     assert files <= {"a/a", "a/b", "b/b"} and "a/b" in files
     back = G.read_matches(spark, str(tmp_path / "out/matches"))
@@ -146,18 +154,70 @@ def test_whole_run(spark, tmp_path):
     program.cancel(spark, "whole")
 
 
+STREAM = "genome string, genome_index int, meta string, seq string"
+
+
 def test_stream(spark, tmp_path):
+    """A genome cut over two batches, a batch without rows, and a restart."""
     src = tmp_path / "in"
-    schema = "genome string, genome_index int, meta string, seq string"
     w = "ACDEFGHIKLMNPQRSTVWY" * 4
-    for k, name in enumerate("ab"):
-        spark.createDataFrame([(name, 0, "", w), (name, 1, "", w[::-1])], schema).coalesce(1).write.mode("append").parquet(str(src))
-        q = cluster_stream(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "state"))
+    for rows in ([("a", 0, "", w), ("b", 0, "", w[::-1])], [], [("a", 1, "", w), ("b", 1, "", w[::-1])]):
+        spark.createDataFrame(rows, STREAM).coalesce(1).write.mode("append").parquet(str(src))
+        q = cluster_stream(spark.readStream.schema(STREAM).parquet(str(src)), str(tmp_path / "state"))
         q.processAllAvailable()
         q.stop()
-    got = spark.read.parquet(str(tmp_path / "state/clusters/v1")).collect()
-    assert {i for r in got for i in r.members} == {0, 1, 2, 3}
-    assert spark.read.parquet(str(tmp_path / "state/sequences/v1")).select(F.max("abs_id")).first()[0] == 3
+    state = str(tmp_path / "state")
+    assert {i for r in incremental.clusters(spark, state).collect() for i in r.members} == {0, 1, 2, 3}
+    got = sorted((r.abs_id, r.genome, r.genome_index, r.genome_size) for r in incremental.sequences(spark, state).collect())
+    assert got == [(0, "a", 0, 2), (1, "b", 0, 2), (2, "a", 1, 2), (3, "b", 1, 2)]
+
+
+def test_batches_add_up(spark, tmp_path):
+    """Genomes cut over three batches, indexes with gaps, an empty and a repeated batch: ids, sequences and clusters of a plain run over the same parts."""
+    r = random.Random(4)
+    base = ["".join(r.choice(ORDER) for _ in range(50)) for _ in range(2)]
+    near = lambda k: "".join(c if r.random() > 0.2 else r.choice(ORDER) for c in base[k % 2])
+    parts = [[(f"g{i % 2}", 10 * k + 5 + i, f"{k}.{i}", near(i)) for i in range(4)] for k in range(3)]
+    params, state = Params(min_score=80, min_full_merge_score=1e9), str(tmp_path / "state")
+    frame = lambda rows: spark.createDataFrame(rows, STREAM)
+    incremental.add_batch(frame(parts[0]), 0, state, params)
+    incremental.add_batch(frame([]), 1, state, params)
+    incremental.add_batch(frame(parts[1]), 2, state, params)
+    before = incremental.clusters(spark, state).orderBy("pos").collect()
+    (tmp_path / "state/genomes/v2/_SUCCESS").unlink()  # the batch failed before its version was whole
+    assert incremental.versions(spark, state) == [0]
+    incremental.add_batch(frame(parts[1][::-1]), 2, state, params)
+    assert incremental.clusters(spark, state).orderBy("pos").collect() == before
+    incremental.add_batch(frame(parts[2]), 5, state, params)
+    assert incremental.versions(spark, state) == [2, 5]
+    count, old, clusters = {}, [], None
+    for part in parts:
+        new = []
+        for genome, _, meta, seq in sorted(part):
+            new.append((len(old) + len(new), genome, count.get(genome, 0), meta, seq))
+            count[genome] = count.get(genome, 0) + 1
+        cols = "abs_id int, genome string, genome_index int, meta string, seq string"
+        more = spark.createDataFrame(new, cols)
+        clusters = C.cluster(more, params) if clusters is None else C.add_genomes(clusters, spark.createDataFrame(old, cols), more, params)
+        old += new
+    got = sorted((x.abs_id, x.genome, x.genome_index, x.meta, x.seq) for x in incremental.sequences(spark, state).collect())
+    assert got == old and {x.genome_size for x in incremental.sequences(spark, state).collect()} == {6}
+    assert incremental.clusters(spark, state).orderBy("pos").collect() == clusters.orderBy("pos").collect()
+
+
+def test_gaps_in_a_genome_fail(spark):
+    rows = lambda *index: spark.createDataFrame([("a", i, "", "ACD") for i in index], STREAM)
+    for index in ((5, 6), (0, 0, 1), (0, 2)):
+        with pytest.raises(Exception, match="gaps in genome a"):
+            G.numbered(rows(*index)).collect()
+        assert sorted(r.genome_index for r in G.numbered_on(rows(*index), "genome_index").collect()) == list(range(len(index)))
+    assert [r.abs_id for r in G.numbered(rows(1, 0)).orderBy("genome_index").collect()] == [0, 1]
+
+
+def test_distances_are_cut(spark):
+    rows = [(45.99, "45"), (45.0, "45"), (44.99996, "45.0000"), (0.1, "0.10000000"), (0.012345678, "0.01234568"), (300.5, "300")]
+    df = spark.createDataFrame([(0, 0, 1.0, d, 0, 1, 0, 1, 0.5, 2) for d, _ in rows], "idx1 int, idx2 int, score double, distance double, seq1_min int, seq1_max int, seq2_min int, seq2_max int, variance double, cluster_size int")
+    assert [r[0].split(", ")[3] for r in df.select(G.match_row(df)).collect()] == [t for _, t in rows]
 
 
 def test_registry(spark):
