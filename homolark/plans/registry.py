@@ -16,7 +16,7 @@ from ..functions.matrices import GAP_EXTEND, GAP_OPEN, Environment, Params, blos
 from ..operators import clustering as C
 from ..operators import evaluation as V
 from ..operators.merging import Cluster, meet, schedule
-from ..sources.genomes import genome_sizes, match_row, numbered_on, pack_bases, read_clusters, read_fasta, read_genomes, read_matches, unpack_bases, write_agd, write_clusters, write_fasta, write_matches
+from ..sources.genomes import genome_sizes, match_row, numbered_on, pack_bases, read_agd, read_clusters, read_fasta, read_genomes, read_matches, unpack_bases, write_agd, write_clusters, write_fasta, write_matches
 from . import alignment_sql as A
 from . import merge_sql as G
 from .session import cut, shared_dir
@@ -165,6 +165,13 @@ def agd_round_trip(spark, sf_dir):
     return read_genomes(spark, manifest).select("abs_id", "genome", "genome_size", "meta", "seq")
 
 
+def agd_range(spark, sf_dir):
+    """Items in chunks of 8, of which one column and the middle half of the ordinals are read back."""
+    own = items(spark, sf_dir).select(F.col("abs_id").alias("ordinal"), "meta", "seq")
+    manifest, n = write_agd(own, scratch(spark, "agd"), "set", 8), own.count()
+    return read_agd(spark, manifest, ("metadata",), n // 4, 3 * n // 4).select("ordinal", F.decode("metadata", "utf-8").alias("meta"))
+
+
 def bases_round_trip(spark, sf_dir):
     """Sequences of documents, packed as bases of three bits and unpacked."""
 
@@ -302,6 +309,7 @@ QUERIES = {
     "avg_by_group": lambda s, d: V.averages(table(s, d, "events"), "event_type", "value").select("event_type", "n", F.round("mean", 6).alias("avg_value")),
     "fasta_round_trip": fasta_round_trip,
     "agd_round_trip": agd_round_trip,
+    "agd_range": agd_range,
     "bases_round_trip": bases_round_trip,
     "clusters_round_trip": clusters_round_trip,
     "matches_round_trip": matches_round_trip,
@@ -358,6 +366,7 @@ ORACLES = {
   select case when swap then y else x end::bigint as abs1, case when swap then x else y end::bigint as abs2, max(size)::int as cluster_size from p group by 1, 2""",
     "fasta_round_trip": SEQ + "select meta, seq from seqs",
     "agd_round_trip": ITEMS + "select abs_id, 'set' as genome, (select count(*) from seqs)::int as genome_size, item_id::varchar as meta, seq from seqs",
+    "agd_range": ITEMS + "select abs_id::bigint as ordinal, item_id::varchar as meta from seqs, (select count(*) as n from seqs) where abs_id between n // 4 and 3 * n // 4",
     "bases_round_trip": SEQ + "select abs_id, regexp_replace(seq, '[^ACGT]', 'N', 'g') as bases from seqs",
     "clusters_round_trip": LISTS + "select (row_number() over (order by pos) - 1)::int as pos, array_to_string(members, ',') as members from c",
     "matches_round_trip": """select lower(l_returnflag) as genome1, lower(l_linestatus) as genome2, (l_orderkey + 1)::int as seq1, (l_linenumber + 1)::int as seq2, q as score, q / 8.0::double as distance,

@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import gzip
 import json
-import struct
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked
+from .agd import EVERY, AgdSource
+from .formats import BASES, BZIP2, GZIP, HEADER, RAW, TEXT, decode_chunk, encode_chunk, pack_bases, unpack_bases  # noqa: F401
 
-# Fixed values of the chunk format: header layout, kinds of compression, bases per word, codes of bases and of the end.
-HEADER = struct.Struct("<4BHHQQ32s")
-RAW, BZIP2, GZIP = 0, 1, 2
-TEXT, STRUCTURED, BASES = 0, 1, 2
-PER_WORD, BASE_CODES, END_CODE = 21, "ACGTN", 7
+DOWN = bytes(max(0, k - 65) for k in range(256))  # residues are stored as 0 to 25
 
 
 def genome_name(path: Column) -> Column:
@@ -51,45 +46,6 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
     lines.repartition("genome").sortWithinPartitions("genome", "genome_index").drop("genome_index").write.partitionBy("genome").mode("overwrite").text(path)
 
 
-def encode_chunk(records: list[bytes], kind: int = TEXT, compression: int = GZIP, first: int = 0, name: str = "") -> bytes:
-    body = np.array([len(r) for r in records], "<u4").tobytes() + b"".join(records)
-    body = gzip.compress(body) if compression == GZIP else body
-    return HEADER.pack(1, 0, kind, compression, HEADER.size, 0, first, first + len(records), name.encode()[:32]) + body
-
-
-def decode_chunk(blob: bytes) -> tuple[list[bytes], int, int]:
-    """(records, first ordinal, kind)."""
-    if len(blob) < HEADER.size:
-        raise ValueError("chunk is shorter than its header")
-    *_, kind, packed, start, _pad, first, last, _name = HEADER.unpack(blob[: HEADER.size])
-    if packed not in (RAW, GZIP):
-        raise ValueError("compression of this kind is not supported")
-    body = gzip.decompress(blob[start:]) if packed == GZIP else blob[start:]
-    n = last - first
-    size = np.frombuffer(body[: 4 * n], "<u4").astype(np.int64)
-    ends = np.cumsum(size)
-    data = body[4 * n :]
-    if len(size) < n or (n and ends[-1] > len(data)):
-        raise ValueError("chunk is cut short")
-    return [data[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)], first, kind
-
-
-def pack_bases(text: str) -> bytes:
-    """Three bits a base, 21 in a word, an end code after the last; what is not A, C, G or T is N."""
-    codes = [BASE_CODES.find(c) if c in BASE_CODES else 4 for c in text.replace("\n", "").upper()] + [END_CODE]
-    out = []
-    for a in range(0, len(codes), PER_WORD):
-        out.append(sum(c << 3 * k for k, c in enumerate(codes[a : a + PER_WORD])))
-    return np.array(out, "<u8").tobytes()
-
-
-def unpack_bases(blob: bytes) -> str:
-    words = np.frombuffer(blob, "<u8")
-    codes = ((words[:, None] >> (3 * np.arange(PER_WORD, dtype=np.uint64))) & np.uint64(7)).ravel()
-    end = np.flatnonzero(codes == END_CODE)
-    return "".join(BASE_CODES[c] for c in codes[: end[0] if len(end) else len(codes)].tolist())
-
-
 def write_agd(seqs: DataFrame, path: str, name: str, rows: int = 10_000, compression: int = GZIP) -> str:
     """Chunks of `rows` consecutive ordinals of (ordinal, meta, seq), each a file a column in a folder that all workers share, and the manifest; its path.
 
@@ -100,15 +56,15 @@ def write_agd(seqs: DataFrame, path: str, name: str, rows: int = 10_000, compres
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, base = pdf.sort_values("ordinal"), f"{path}/{name}-{key[0]:012d}"
         first = int(pdf["ordinal"].iloc[0])
-        for column, records in (("prot", [bytes(c - 65 for c in s.encode()) for s in pdf["seq"]]), ("metadata", [m.encode() for m in pdf["meta"]])):
+        for column, records in (("prot", [s.encode().translate(DOWN) for s in pdf["seq"]]), ("metadata", [m.encode() for m in pdf["meta"]])):
             fs, at = pa_fs.FileSystem.from_uri(f"{base}.{column}")
             fs.create_dir(at.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(at) as out:
                 out.write(encode_chunk(records, compression=compression, first=first, name=name))
-        return pd.DataFrame({"chunk": [key[0]], "n": [len(pdf)]})
+        return pd.DataFrame({"chunk": [key[0]], "first": [first], "n": [len(pdf)]})
 
-    chunks = chunked.groupBy("chunk").applyInPandas(run, "chunk long, n long").orderBy("chunk").collect()  # a row a file
-    doc = {"name": name, "columns": ["prot", "metadata"], "records": [{"path": f"{path}/{name}-{r.chunk:012d}"} for r in chunks]}
+    chunks = chunked.groupBy("chunk").applyInPandas(run, "chunk long, first long, n long").orderBy("chunk").collect()  # a row a file
+    doc = {"name": name, "columns": ["prot", "metadata"], "records": [{"path": f"{path}/{name}-{r.chunk:012d}", "first": r.first, "last": r.first + r.n} for r in chunks]}
     fs, at = pa_fs.FileSystem.from_uri(f"{path}/{name}.json")
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(at) as out:
@@ -116,8 +72,25 @@ def write_agd(seqs: DataFrame, path: str, name: str, rows: int = 10_000, compres
     return f"{path}/{name}.json"
 
 
-def read_agd(spark: SparkSession, manifest: str, columns: tuple[str, ...] = ("prot", "metadata")) -> DataFrame:
-    """(ordinal, one binary column per requested column): one task per chunk file, other columns' files are not read."""
+def read_agd(spark: SparkSession, manifest: str, columns: tuple[str, ...] = ("prot", "metadata"), first: int = EVERY[0], last: int = EVERY[1]) -> DataFrame:
+    """(ordinal, one binary column per requested column) of the ordinals first to last: other columns' files and chunks outside are not read, nothing is shuffled."""
+    spark.dataSource.register(AgdSource)
+    doc = spark.read.option("multiLine", True).json(manifest).first()
+    missing = set(columns) - set(doc["columns"])
+    if missing:
+        raise ValueError(f"dataset has no column {sorted(missing)}")
+    schema = ", ".join(["ordinal long", *[f"`{c}` binary" for c in columns]])
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("agd_chunks").schema(schema).options(first=first, last=last, push=push).load(manifest)
+
+
+def at(spark: SparkSession, manifest: str, ordinal: int, columns: tuple[str, ...] = ("prot", "metadata")) -> DataFrame:
+    """The record of one ordinal; no row where there is none."""
+    return read_agd(spark, manifest, columns, ordinal, ordinal)
+
+
+def read_agd_files(spark: SparkSession, manifest: str, columns: tuple[str, ...] = ("prot", "metadata")) -> DataFrame:
+    """As `read_agd` for stores that only Spark reaches: whole chunk files come through Spark's reader, and columns meet in a shuffle."""
     doc = spark.read.option("multiLine", True).json(manifest).first()
     missing = set(columns) - set(doc["columns"])
     if missing:

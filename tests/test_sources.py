@@ -13,6 +13,7 @@ from homolark.operators import clustering as C
 from homolark.operators import evaluation as V
 from homolark.plans import program
 from homolark.sources import genomes as G
+from homolark.sources.agd import read_records
 from homolark.streaming import incremental
 from homolark.streaming.incremental import cluster_stream
 
@@ -116,6 +117,48 @@ def test_agd_written_and_read(spark, tmp_path):
     assert [(r.genome, r.meta, r.seq) for r in rows] == [("set", f"m{i}" if i % 3 else "", "ACDW" * (i % 4)) for i in range(25)]
 
 
+@pytest.mark.parametrize("packed", [G.RAW, G.GZIP])
+def test_only_what_is_asked_for_is_read(spark, tmp_path, packed):
+    seqs = spark.createDataFrame([(i, f"m{i}", "ACDEFGHIKL" * (i % 9) * 40) for i in range(60)], "ordinal long, meta string, seq string")
+    manifest = G.write_agd(seqs, str(tmp_path / "agd"), "set", 20, packed)
+    whole = sorted((r.ordinal, bytes(r.prot), bytes(r.metadata)) for r in G.read_agd(spark, manifest).collect())
+    assert whole == sorted((r.ordinal, bytes(r.prot), bytes(r.metadata)) for r in G.read_agd_files(spark, manifest).collect()) and len(whole) == 60
+    ranged = G.read_agd(spark, manifest, first=15, last=41)
+    assert sorted((r.ordinal, bytes(r.prot), bytes(r.metadata)) for r in ranged.collect()) == whole[15:42]
+    assert ranged.rdd.getNumPartitions() == 3 and "Exchange" not in ranged._jdf.queryExecution().toString()
+    one = G.at(spark, manifest, 33)
+    assert [(r.ordinal, bytes(r.prot)) for r in one.collect()] == [whole[33][:2]] and one.rdd.getNumPartitions() == 1
+    assert G.at(spark, manifest, 60).collect() == []
+    for f in (tmp_path / "agd").glob("*.prot"):  # another column's files and other chunks are not opened
+        if "000000000001" not in f.name:
+            f.write_bytes(b"broken")
+    assert [bytes(r.metadata) for r in G.read_agd(spark, manifest, ("metadata",)).orderBy("ordinal").collect()] == [w[2] for w in whole]
+    assert [bytes(r.prot) for r in G.at(spark, manifest, 20, ("prot",)).collect()] == [whole[20][1]]
+    with pytest.raises(Exception, match="shorter than its header"):
+        G.read_agd(spark, manifest, ("prot",)).collect()
+    # of an uncompressed chunk only the index and the asked bytes are read
+    first, records, read = read_records(f"{tmp_path}/agd/set-000000000001.prot", 21, 22)
+    assert (first, records) == (21, [whole[21][1], whole[22][1]])
+    if packed == G.RAW:
+        assert read == G.HEADER.size + 4 * 20 + sum(len(w[1]) for w in whole[20:23])
+
+
+def test_conditions_reach_the_reader(spark, tmp_path):
+    seqs = spark.createDataFrame([(i, f"m{i}", "ACD") for i in range(30)], "ordinal long, meta string, seq string")
+    manifest = G.write_agd(seqs, str(tmp_path / "agd"), "set", 5)
+    for f in (tmp_path / "agd").glob("*.prot"):
+        if f.name != "set-000000000002.prot":
+            f.write_bytes(b"broken")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        prot = lambda where: sorted(r.ordinal for r in G.read_agd(spark, manifest, ("prot",)).where(where).collect())
+        assert prot("ordinal = 12") == [12] and prot("ordinal > 10 and ordinal <= 13") == [11, 12, 13]
+        assert prot("ordinal in (10, 14)") == [10, 14] and prot("ordinal >= 12 and ordinal < 15 and length(prot) = 3") == [12, 13, 14]
+        assert prot("ordinal = 12 and ordinal = 13") == []
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_large_fasta_is_numbered_over_splits(spark, tmp_path):
     (tmp_path / "big.fa").write_text("".join(f">r{i}\n{'MKVL' * (i % 7 + 1)}\n" for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
