@@ -254,6 +254,12 @@ def clusters(spark, sf_dir, mode: str = "sequential"):
     return C.cluster(items(spark, sf_dir), PARAMS, mode).select("pos", _text("members").alias("members"))
 
 
+def scan_text(spark, sf_dir):
+    """All items against all items as lines of text, with a threshold of 60."""
+    own = cut(items(spark, sf_dir).select(F.col("abs_id").cast("long").alias("id"), "meta", "seq"))
+    return C.scan_lines(C.query_scan(own, own, PARAMS), own, own, 60.0)
+
+
 def set_meets_one(spark, sf_dir):
     """All items but the first as clusters of one, and the first as the cluster that they meet: positional diffs."""
     s = items(spark, sf_dir).select(F.col("abs_id").cast("long").alias("abs_id"), "seq")
@@ -286,6 +292,7 @@ QUERIES = {
     "query_scan": lambda s, d: (lambda x: C.query_scan(x, x, PARAMS))(items(s, d).select(F.col("abs_id").cast("long").alias("id"), "seq")),
     "clusters_sequential": clusters,
     "clusters_parallel": lambda s, d: clusters(s, d, "parallel"),
+    "scan_text": scan_text,
     "set_meets_one": set_meets_one,
     "incremental_ids": incremental_ids,
     "cluster_matches": cluster_matches,
@@ -344,6 +351,9 @@ ORACLES = {
   from ahead a join behind b using (x, y)""",
     "query_scan": ITEMS.replace("with raw", "with recursive raw") + ", " + ",\n".join([A.CODES, A.pairs("p", "true"), A.aligned("whole", "p", blosum62(), int(GAP_OPEN), int(GAP_EXTEND))])
         + " select x::bigint as query, y::bigint as target, score::double as score from whole",
+    "scan_text": ITEMS.replace("with raw", "with recursive raw") + ", " + ",\n".join([A.CODES, A.pairs("p", "true"), A.aligned("whole", "p", blosum62(), int(GAP_OPEN), int(GAP_EXTEND))])
+        + """ select x::bigint as query, y::bigint as target, case when score >= 60 then '>threshold' else score::varchar end || chr(9) || b.item_id || ' x ' || a.item_id as line
+  from whole join seqs a on a.abs_id = x join seqs b on b.abs_id = y""",
     "merge_schedule": "select k::int as merge_id, (2 * k)::int as left_item, (2 * k + 1)::int as right_item from (select unnest(range((select count(*) from benchmark) - 1)) as k)",
     "clusters_sequential": f"{_MERGE}, {G.merged('sequential', G.SINGLES)} {_LAST}",
     "clusters_parallel": f"{_MERGE}, {G.merged('parallel', G.SINGLES)} {_LAST}",

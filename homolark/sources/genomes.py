@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked
 from .agd import EVERY, AgdSource
+from .match_sink import MatchSink
 from .formats import BASES, BZIP2, GZIP, HEADER, RAW, TEXT, decode_chunk, encode_chunk, pack_bases, unpack_bases  # noqa: F401
 
 DOWN = bytes(max(0, k - 65) for k in range(256))  # residues are stored as 0 to 25
@@ -226,32 +227,12 @@ def match_row(df: DataFrame) -> Column:
     return F.format_string("[%d, %d, %.7f, %s, %d..%d, %d..%d, %.8f, %d]", one("idx1"), one("idx2"), "score", distance, one("seq1_min"), one("seq1_max"), one("seq2_min"), one("seq2_max"), "variance", "cluster_size")
 
 
-def match_lines(matches: DataFrame) -> DataFrame:
-    """(genome1, genome2, idx1, idx2, value): the lines of all match files; the first of a pair of genomes opens its file and the last one closes it."""
-    w = Window.partitionBy("genome1", "genome2").orderBy("idx1", "idx2")
-    rows = matches.select("genome1", "genome2", "idx1", "idx2", match_row(matches).alias("row"), F.row_number().over(w).alias("n"), F.lead(F.lit(1)).over(w).alias("more"))
-    head = F.when(F.col("n") == 1, F.concat(F.lit("# AllAll of "), "genome1", F.lit(" vs "), "genome2", F.lit(";\nRefinedMatches(\n["))).otherwise("")
-    return rows.select("genome1", "genome2", "idx1", "idx2", F.concat(head, "row", F.when(F.col("more").isNull(), " ]):").otherwise(",")).alias("value"))
-
-
 def write_matches(matches: DataFrame, path: str) -> None:
-    """A file path/genome1/genome2 for each pair of genomes; earlier output is replaced. Rows stream through a sort; the driver only renames files."""
-    spark = matches.sparkSession
-    parts = f"{path.rstrip('/')}.parts"
-    lines = match_lines(matches).repartition("genome1", "genome2").sortWithinPartitions("genome1", "genome2", "idx1", "idx2")
-    lines.withColumns({"__1": F.col("genome1"), "__2": F.col("genome2")}).select("value", "__1", "__2").write.mode("overwrite").partitionBy("__1", "__2").text(parts)
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(Path(path), True)
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    for one in fs.listStatus(Path(parts)):
-        if one.isDirectory():
-            for two in fs.listStatus(one.getPath()):
-                name1, name2 = (unescape(x.getPath().getName().partition("=")[2]) for x in (one, two))
-                fs.mkdirs(Path(f"{path}/{name1}"))
-                file = next(f.getPath() for f in fs.listStatus(two.getPath()) if f.getPath().getName().startswith("part-"))
-                fs.rename(file, Path(f"{path}/{name1}/{name2}"))
-    fs.delete(Path(parts), True)
+    """A file path/genome1/genome2 for each pair of genomes, by index; earlier output is replaced at the end, or kept if the job fails. Rows stream through a sort into the tasks' files."""
+    matches.sparkSession.dataSource.register(MatchSink)
+    rows = matches.select("genome1", "genome2", "idx1", "idx2", match_row(matches).alias("value"))
+    rows = rows.repartition("genome1", "genome2").sortWithinPartitions("genome1", "genome2", "idx1", "idx2")
+    rows.select("genome1", "genome2", "value").write.format("match_files").mode("overwrite").save(path)
 
 
 def read_matches(spark: SparkSession, path: str, min_score: float | None = None) -> DataFrame:

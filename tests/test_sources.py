@@ -14,6 +14,7 @@ from homolark.operators import evaluation as V
 from homolark.plans import program
 from homolark.sources import genomes as G
 from homolark.sources.agd import read_records
+from homolark.sources.match_sink import MatchWriter
 from homolark.streaming import incremental
 from homolark.streaming.incremental import cluster_stream
 
@@ -257,6 +258,54 @@ def test_gaps_in_a_genome_fail(spark):
     assert [r.abs_id for r in G.numbered(rows(1, 0)).orderBy("genome_index").collect()] == [0, 1]
 
 
+MATCHES = "genome1 string, genome2 string, idx1 int, idx2 int, score double, distance double, seq1_min int, seq1_max int, seq2_min int, seq2_max int, variance double, cluster_size int"
+
+
+def test_match_files_are_whole_or_not_there(spark, tmp_path):
+    out = tmp_path / "m"
+    rows = lambda *pairs: spark.createDataFrame([(a, b, i, i, 5.0, 1.0, 0, 1, 0, 1, 0.5, 2) for a, b, n in pairs for i in range(n)], MATCHES).repartition(5)
+    files = lambda: sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file())
+    G.write_matches(rows(("a", "b", 40), ("a", "c d%", 1), ("ü", "a", 3)), str(out))
+    assert files() == ["a/b", "a/c d%", "ü/a"]
+    text = (out / "a/b").read_text()
+    assert text.startswith("# AllAll of a vs b;\nRefinedMatches(\n[[1, 1, ") and text.endswith("] ]):\n") and text.count(",\n[") == 39
+    assert G.read_matches(spark, str(out)).count() == 44
+    bad = rows(("a", "b", 3), ("x", "y", 3)).withColumn("score", F.when(F.col("genome1") == "x", F.raise_error(F.lit("no score")).cast("double")).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="no score"):
+        G.write_matches(bad, str(out))
+    assert files() == ["a/b", "a/c d%", "ü/a"] and (out / "a/b").read_text() == text  # earlier output is as it was
+    assert [p.name for p in tmp_path.iterdir()] == ["m"]
+    G.write_matches(rows(("a", "b", 2)), str(out))  # replaced, nothing of the earlier run stays
+    assert files() == ["a/b"]
+    G.write_matches(rows(), str(out))
+    assert files() == [] and out.is_dir()
+
+
+def test_a_task_that_runs_twice_leaves_one_file(tmp_path):
+    writer = MatchWriter(str(tmp_path / "m"))
+    rows = [{"genome1": "a", "genome2": b, "value": f"[{k}]"} for b in "bc" for k in range(3)]
+
+    def broken():
+        yield from rows[:2]
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    first, again = writer.write(iter(rows)), writer.write(iter(rows))
+    assert first.files == again.files == ["a/b", "a/c"]
+    writer.commit([again, None])
+    assert (tmp_path / "m/a/b").read_text() == "# AllAll of a vs b;\nRefinedMatches(\n[[0],\n[1],\n[2] ]):\n"
+    with pytest.raises(ValueError, match="more than one partition"):
+        writer.commit([first, again])
+
+
+def test_scan_lines(spark):
+    scores = spark.createDataFrame([(0, 1, 12.0), (0, 2, 60.0), (1, 0, 12.3456789), (2, 0, 1234567.5), (1, 1, 0.00001)], "query long, target long, score double")
+    names = spark.createDataFrame([(0, "q 0"), (1, None), (2, "z")], "id long, meta string")
+    got = {(r.query, r.target): r.line for r in C.scan_lines(scores, names, names, 1e6).collect()}
+    assert got == {(0, 1): "12\t x q 0", (0, 2): "60\tz x q 0", (1, 0): "12.3457\tq 0 x ", (2, 0): ">threshold\tq 0 x z", (1, 1): "1e-05\t x "}
+
+
 def test_distances_are_cut(spark):
     rows = [(45.99, "45"), (45.0, "45"), (44.99996, "45.0000"), (0.1, "0.10000000"), (0.012345678, "0.01234568"), (300.5, "300")]
     df = spark.createDataFrame([(0, 0, 1.0, d, 0, 1, 0, 1, 0.5, 2) for d, _ in rows], "idx1 int, idx2 int, score double, distance double, seq1_min int, seq1_max int, seq2_min int, seq2_max int, variance double, cluster_size int")
