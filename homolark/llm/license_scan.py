@@ -1,12 +1,13 @@
 """Licence scan by a trained paragraph classifier.
 
 Paragraphs (parted by blank lines) are classified by multinomial logistic regression over hashed word 1- to 3-grams into licence
-families and an unknown class. It is trained here: positives are the families' templates with drawn-in variations;
+families and an unknown class. It is trained here: positives are the families' templates with drawn-in variations, and notices that name a family in drawn words;
 negatives are a bounded sample of the corpus' own paragraphs that hold no template: of about `SAMPLED` documents by hash of the text up to `EACH` windows
 by hash, of these the `NEGATIVES` with the lowest hashes, documented bounds that do not depend on how files are split. Probabilities are calibrated by a
 temperature fitted on held-out paragraphs, and a window is
 searched if the families together reach `CONFIDENT` (notices of two families share the probability). Then templates decide, each family
-for itself: five-word shingles (all words if fewer) of a template found in one place at `CONFIRM` or more. A long paragraph is
+for itself: five-word shingles (all words if fewer) of a template found in one place at `CONFIRM` or more, or a template with slots, a lead ("licensed under", "available under the terms of the", an
+identifier's key) before one of the family's names; a short paragraph may hold a full name alone. A long paragraph is
 classified by windows of `SPAN` words with half overlap. Each place is a notice, at the line where it begins, so a line may hold several and a notice may be
 wrapped over lines; `probability` is that of the families together, in the surest window that the place touches.
 
@@ -47,6 +48,29 @@ TEMPLATES = {
     "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
     "All-rights-reserved": ("All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
+# fixed values: names of the families, as words
+NAMES = {
+    "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache license v2.0", "apache license v2", "apache 2.0 license", "apache software license 2.0", "apache 2.0", "apache-2.0", "apache v2", "asl 2.0"),
+    "MIT": ("mit license", "mit licence", "expat license", "mit"),
+    "GPL-3.0": ("gnu general public license version 3", "gnu general public license v3.0", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gnu gplv3", "gpl version 3", "gpl v3", "gpl 3.0", "gplv3", "gpl3", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later"),
+    "CC-BY-NC-4.0": ("creative commons attribution-noncommercial 4.0 international license", "creative commons attribution-noncommercial license", "creative commons attribution-noncommercial 4.0", "cc by-nc 4.0", "cc-by-nc-4.0", "cc-by-nc 4.0", "cc by-nc"),
+    "CC-BY-4.0": ("creative commons attribution 4.0 international license", "creative commons attribution license", "creative commons attribution 4.0", "cc by 4.0", "cc-by-4.0", "cc-by 4.0"),
+    "BSD-3-Clause": ("bsd 3-clause license", "3-clause bsd license", "three-clause bsd license", "new bsd license", "modified bsd license", "revised bsd license", "bsd 3-clause", "3-clause bsd", "bsd-3-clause"),
+    "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license v 2.0", "mozilla public license v2.0", "mozilla public license 2.0", "mpl 2.0", "mpl v2.0", "mpl-2.0", "mplv2"),
+    "CC-BY-SA-4.0": ("creative commons attribution-sharealike 4.0 international license", "creative commons attribution-sharealike license", "creative commons attribution-sharealike 4.0", "cc by-sa 4.0", "cc-by-sa-4.0", "cc-by-sa 4.0", "cc by-sa"),
+    "CC0-1.0": ("cc0 1.0 universal", "creative commons zero", "cc0 1.0", "cc0-1.0", "cc0"),
+    "AGPL-3.0": ("gnu affero general public license version 3", "gnu affero general public license v3.0", "gnu affero general public license v3", "gnu agpl version 3", "gnu agpl v3", "gnu agplv3", "agpl v3", "agplv3", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"),
+    "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lesser general public license v3.0", "gnu lesser general public license v3", "gnu lgpl version 3", "gnu lgpl v3", "gnu lgplv3", "lgpl v3", "lgplv3", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later"),
+    "ISC": ("isc license", "isc licence", "isc"),
+    "Unlicense": ("the unlicense", "unlicense license", "unlicense"),
+    "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license v2.0", "eclipse public license 2.0", "epl 2.0", "epl-2.0", "epl v2.0"),
+    "BSL-1.0": ("boost software license version 1.0", "boost software license 1.0", "boost software license", "bsl-1.0"),
+}
+# fixed values: what stands before a name in a notice, and what may stand between
+LEADS = ("licensed", "licenced", "licensing", "released", "distributed", "redistributed", "available", "published", "provided", "offered", "issued", "shared", "covered", "governed", "dual-licensed", "multi-licensed")
+BETWEEN = ("the", "terms", "conditions", "of", "and", "a", "an", "open", "source", "permissive", "free", "standard", "software", "either")
+GAP = 6
+HEADING = 8  # words of a paragraph that may be a name alone
 FAMILIES = ("unknown", *TEMPLATES)
 FILLER = "please note that the following text is made available by its authors and contributors see notice file for details copyright holders 2019 2021 project work content".split()
 BITS = 15
@@ -152,7 +176,7 @@ class Classifier:
         np.add.at(z, who, self.w[f])
         return z * scale[:, None] + self.b, f, who, scale
 
-    def fit(self, texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5) -> None:
+    def fit(self, texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 0.5, l2: float = 1e-5) -> None:
         """Minibatch AdaGrad; a fifth is held out to fit the temperature."""
         p = Paragraphs(*utf8(pa.array([t.replace("\n", " ") for t in texts])))
         one = np.unique(p.row, return_index=True)[1]
@@ -190,59 +214,102 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
 SHINGLES = {f: [(t, shingles(plain(t))) for t in ts] for f, ts in TEMPLATES.items()}
 
 
-def confirms(text: str, family: str) -> float:
-    """Largest share of a template's shingles in the text."""
-    w = plain(text)
-    own: dict[int, set] = {}
-    best = 0.0
-    for _, need in SHINGLES[family]:
-        n = len(next(iter(need)))
-        if n not in own:
-            own[n] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-        best = max(best, len(need & own[n]) / len(need))
-    return best
+TEMPLATE_AT = [(f, t, need, len(plain(t)) + 5) for f, ts in SHINGLES.items() for t, need in ts]
+INDEX: dict[tuple, list[int]] = {}
+for _k, (_f, _t, _need, _reach) in enumerate(TEMPLATE_AT):
+    for _x in _need:
+        INDEX.setdefault(_x, []).append(_k)
+SIZES = sorted({len(x) for x in INDEX})
+NAMED = {tuple(plain(n)): f for f, ns in NAMES.items() for n in ns}
+LONGEST_NAME = max(map(len, NAMED))
 
 
-def places(w: list[str]) -> list[tuple[str, int, int, float]]:
-    """(family, first word, word after the last, share of shingles) wherever a template agrees; places of a family may overlap, of families only in a tie: the larger share
-    goes before, as related licences share much of their wording."""
-    at: dict[int, list] = {}
+def _hits(w: list[str]) -> dict[int, list[int]]:
+    """Places of each template's shingles; every shingle of the words is looked up once."""
+    out: dict[int, list[int]] = {}
+    for n in SIZES:
+        for i in range(len(w) - n + 1):
+            for k in INDEX.get(tuple(w[i : i + n]), ()):
+                out.setdefault(k, []).append(i)
+    return out
+
+
+def agreement(w: list[str]) -> float:
+    """Largest share of any template's shingles in the words."""
+    return max((len({tuple(w[i : i + len(next(iter(need)))]) for i in at}) / len(need) for k, at in _hits(w).items() for need in (TEMPLATE_AT[k][2],)), default=0.0)
+
+
+def named(w: list[str]) -> list[tuple[str, int, int, float]]:
+    """Notices by name: a lead with `under` (or `by`, before a name that ends in licence), filling words, and a family's name; an identifier; or a paragraph that hardly holds more than a full name."""
     out = []
-    for family, templates in SHINGLES.items():
-        for t, need in templates:
-            n = len(next(iter(need)))
-            if n not in at:
-                own = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
-                at[n] = [own, set(own)]
-            own, distinct = at[n]
-            if len(need & distinct) < CONFIRM * len(need):
+    i = 0
+    while i < len(w):
+        size = next((n for n in range(min(LONGEST_NAME, len(w) - i), 0, -1) if tuple(w[i : i + n]) in NAMED), 0)
+        if not size:
+            i += 1
+            continue
+        end = i + size
+        full = w[end - 1] in ("license", "licence") or w[end : end + 1] in (["license"], ["licence"]) or (size > 2 and "license" in w[i:end])
+        j = i - 1
+        while j >= max(0, i - GAP) and w[j] in BETWEEN:
+            j -= 1
+        lead = j >= 1 and w[j - 1] in LEADS and (w[j] == "under" or (w[j] == "by" and full))
+        lead = lead or (j >= 2 and w[j] == "under" and w[j - 1] in ("it", "them", "work", "code") and w[j - 2] in LEADS)
+        if j >= 0 and w[j] == "spdx-license-identifier":
+            out.append((NAMED[tuple(w[i:end])], j, end, 1.0))
+        elif lead:
+            out.append((NAMED[tuple(w[i:end])], j - 1, end, 1.0))
+        elif full and len(w) <= HEADING and size > 1:
+            out.append((NAMED[tuple(w[i:end])], i, end, 1.0))
+        i = end
+    return out
+
+
+def places(w: list[str]) -> list[tuple[str, int, int, float]]:
+    """(family, first word, word after the last, share of shingles) wherever a template agrees or a notice names a family; places of a family may overlap, of families only in a tie: the larger
+    share goes before, as related licences share much of their wording."""
+    out = named(w)
+    for t, hits in _hits(w).items():
+        family, _, need, reach = TEMPLATE_AT[t]
+        n = len(next(iter(need)))
+        if len({tuple(w[i : i + n]) for i in hits}) < CONFIRM * len(need):
+            continue
+        k = 0
+        while k < len(hits):
+            span = [i for i in hits[k:] if i + n <= hits[k] + reach]
+            share = len({tuple(w[i : i + n]) for i in span}) / len(need)
+            if share < CONFIRM:
+                k += 1
                 continue
-            reach = len(plain(t)) + 5
-            hits = [i for i, x in enumerate(own) if x in need]
-            k = 0
-            while k < len(hits):
-                span = [i for i in hits[k:] if i + n <= hits[k] + reach]
-                share = len({own[i] for i in span}) / len(need)
-                if share < CONFIRM:
-                    k += 1
-                    continue
-                seen: set = set()
-                for j, i in enumerate(span):  # a shingle that comes again begins another place
-                    if own[i] in seen and len(seen) >= CONFIRM * len(need):
-                        span = span[:j]
-                        break
-                    seen.add(own[i])
-                out.append((family, span[0], span[-1] + n, len(seen) / len(need)))
-                k += len(span)
+            seen: set = set()
+            for j, i in enumerate(span):  # a shingle that comes again begins another place
+                x = tuple(w[i : i + n])
+                if x in seen and len(seen) >= CONFIRM * len(need):
+                    span = span[:j]
+                    break
+                seen.add(x)
+            out.append((family, span[0], span[-1] + n, len(seen) / len(need)))
+            k += len(span)
     kept: list[tuple[str, int, int, float]] = []
-    for x in sorted(out, key=lambda x: -x[3]):
+    for x in sorted(out, key=lambda x: (-x[3], x[1] - x[2])):
         if all(x[0] == y[0] or x[3] == y[3] or x[1] >= y[2] or y[1] >= x[2] for y in kept):
             kept.append(x)
     return kept
 
 
-def variations(seed: int = 11, each: int = 300) -> tuple[list[str], list[int]]:
-    """Templates with words dropped, doubled or drawn in around them."""
+def drawn(r: random.Random, family: str) -> str:
+    """A notice that names a family, in words drawn at random."""
+    name = r.choice(NAMES[family])
+    name = r.choice((name, name.title(), name.upper() if len(name) < 14 else name))
+    lead, what = r.choice(LEADS), r.choice(("", "This project is", "This software is", "The code is", "All code is", "Code", "Content is", "This work is", "The library is"))
+    between = r.choice(("the", "the terms of the", "a", "the terms and conditions of the", "", "the open source"))
+    tail = "" if "licen" in name.lower() or r.random() < 0.4 else "license"
+    alone = (f"{name} {tail}", f"SPDX-License-Identifier: {name}") if r.random() < 0.15 else ()
+    return r.choice(alone or (f"{what} {lead} under {between} {name} {tail}",)).strip()
+
+
+def variations(seed: int = 11, each: int = 200) -> tuple[list[str], list[int]]:
+    """Templates with words dropped, doubled or drawn in around them, and notices by name in drawn words."""
     r = random.Random(seed)
     texts, y = [], []
     for k, family in enumerate(FAMILIES[1:], 1):
@@ -255,6 +322,12 @@ def variations(seed: int = 11, each: int = 300) -> tuple[list[str], list[int]]:
                     w = [r.choice(FILLER) for _ in range(r.randrange(8))] + w + [r.choice(FILLER) for _ in range(r.randrange(8))]
                 texts.append(" ".join(w))
                 y.append(k)
+        for j in range(2 * each if family in NAMES else 0):
+            w = drawn(r, family).split()
+            if j % 2:
+                w = [r.choice(FILLER) for _ in range(r.randrange(8))] + w + [r.choice(FILLER) for _ in range(r.randrange(8))]
+            texts.append(" ".join(w))
+            y.append(k)
     for _ in range(each * 4):  # the surrounding words alone say nothing
         texts.append(" ".join(r.choice(FILLER) for _ in range(r.randrange(3, 30))))
         y.append(0)
@@ -270,7 +343,7 @@ def _negatives(batches):
         out = []
         for r in range(x.num_rows):
             own = sorted(range(bounds[r], bounds[r + 1]), key=lambda i: xxhash.xxh3_64_intdigest(raw[p.starts[p.lo[i]] : p.ends[p.hi[i] - 1]]))  # noqa: B023
-            out += [t for t in map(p.text, own[:EACH]) if all(confirms(t, f) < 0.5 for f in TEMPLATES)]
+            out += [t for t in map(p.text, own[:EACH]) if agreement(w := plain(t)) < 0.5 and not named(w)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
 
 
