@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -107,3 +108,79 @@ def test_licence_scan_against_templates_everywhere(spark):
     assert all(got[i] <= want[i] for i in texts)
     there = [i for i in texts if want[i]]
     assert len(there) > 30 and sum(got[i] == want[i] for i in there) >= 0.95 * len(there)
+
+
+# Written by hand; no word of training was taken from here.
+NOTICES = [
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("MIT", "Licensed under the MIT license."),
+    ("BSD-3-Clause", "This file is distributed under the 3-Clause BSD License."),
+    ("GPL-3.0", "Code released under the GPLv3."),
+    ("GPL-3.0", "GNU General Public License v3.0"),
+    ("CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike License."),
+    ("Apache-2.0", "Distributed under the Apache 2.0 license."),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "This library is made available under the Apache License, Version 2.0, see the file."),
+    ("MPL-2.0", "Our code is published under MPL 2.0."),
+    ("LGPL-3.0", "The library is covered by the GNU Lesser General Public License v3."),
+    ("AGPL-3.0", "The server is offered under the AGPLv3; contact us for other terms."),
+    ("ISC", "Released under the terms of the ISC license."),
+    ("Unlicense", "This is released under the Unlicense."),
+    ("EPL-2.0", "Provided under the terms of the Eclipse Public License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License."),
+    ("CC0-1.0", "The data are shared under CC0 1.0."),
+    ("CC-BY-4.0", "All figures are licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Photos: licensed under CC BY-NC 4.0, no commercial use."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-3.0", "You may redistribute it; it is licensed under the GNU GPL version 3 or later."),
+    ("BSD-3-Clause", "NumPy is released under a modified BSD license."),
+]
+OTHERS = [
+    "Researchers at MIT released a study under pressure from the press.",
+    "The apache helicopter was distributed under cover of night.",
+    "Room is available under the stairs, ask the clerk.",
+    "The work is governed by the laws of physics and of Massachusetts.",
+    "He was licensed under state law to drive a bus.",
+    "General public access to the library is free.",
+    "The mozilla team and the eclipse in May.",
+    "Creative people, common attributes and zero cost.",
+    "Permission was granted to leave the building early.",
+]
+
+
+def test_licence_notices_in_ordinary_words(spark):
+    """Alone and in the middle of a long paragraph: nine in ten at least, and no other family anywhere."""
+    around = "The quarterly report shows that sales of tea went up while coffee fell, which nobody had seen coming. "
+    rows = [(i, t) for i, (_, t) in enumerate(NOTICES)] + [(100 + i, around * 3 + t + " " + around * 3) for i, (_, t) in enumerate(NOTICES) if len(t.split()) > 4 and "v3.0" not in t]
+    rows += [(200 + i, t) for i, t in enumerate(OTHERS)] + [(300 + i, around * 2 + t + " " + around) for i, t in enumerate(OTHERS)]
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    model = L.train(docs.select("text"))
+    p = L._scan(SimpleNamespace(value=model))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    found = next(p([batch]))
+    got = {i: {x["family"] for x in n} for i, n in zip(found["doc_id"].to_pylist(), found["notices"].to_pylist(), strict=True)}
+    right = [got[i] == {NOTICES[i % 100][0]} for i in got if i < 200]
+    assert len(right) > 40 and sum(right) >= 0.9 * len(right)
+    assert all(got[i] <= {NOTICES[i % 100][0]} for i in got if i < 200) and not any(got[i] for i in got if i >= 200)
+
+
+def test_named_licences_against_plain_search():
+    """Every name after every lead, tried at every place."""
+
+    def plain_search(w):
+        out = set()
+        for family, names in L.NAMES.items():
+            for name in map(L.plain, names):
+                for i in range(len(w) - len(name) + 1):
+                    if w[i : i + len(name)] == name:
+                        j = i - 1
+                        while j >= max(0, i - L.GAP) and w[j] in L.BETWEEN:
+                            j -= 1
+                        if (j >= 1 and w[j - 1] in L.LEADS and w[j] == "under") or (j >= 0 and w[j] == "spdx-license-identifier"):
+                            out.add((family, i, i + len(name)))
+        return {x for x in out if not any(y != x and y[1] <= x[1] and x[2] <= y[2] for y in out)}
+
+    r = random.Random(3)
+    for _ in range(2000):
+        w = [x for _ in range(3) for x in [*r.choices(["tea", "under", "licensed", "the", "mit"], k=r.randrange(4)), *L.plain(L.drawn(r, r.choice(list(L.NAMES))))]] + ["end"] * L.HEADING
+        assert {f for f, *_ in plain_search(w)} == {f for f, *_ in L.named(w)}
