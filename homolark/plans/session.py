@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. On a cluster it must be set; a local session without one has a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found or f"{tempfile.gettempdir()}/homolark-{spark.sparkContext.applicationId}"
 
