@@ -193,6 +193,13 @@ def clusters_round_trip(spark, sf_dir):
     return read_clusters(spark, f"{path}.gz")[0].select("pos", _text("members").alias("members"))
 
 
+def clusters_parts_round_trip(spark, sf_dir):
+    """As clusters_round_trip, the document left as a folder of the parts that tasks wrote."""
+    path = scratch(spark, "clusters")
+    write_clusters(lists(spark, sf_dir), customers(spark, sf_dir), path, ["customer"], joined=False)
+    return read_clusters(spark, path)[0].select("pos", _text("members").alias("members"))
+
+
 def match_rows(spark, sf_dir) -> DataFrame:
     x = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("int")
@@ -319,6 +326,7 @@ QUERIES = {
     "agd_range": agd_range,
     "bases_round_trip": bases_round_trip,
     "clusters_round_trip": clusters_round_trip,
+    "clusters_parts_round_trip": clusters_parts_round_trip,
     "matches_round_trip": matches_round_trip,
     "quantized_matrix": quantized_matrix,
     "merge_outcomes": merge_outcomes,
@@ -378,6 +386,7 @@ ORACLES = {
     "agd_round_trip": ITEMS + "select abs_id, 'set' as genome, (select count(*) from seqs)::int as genome_size, item_id::varchar as meta, seq from seqs",
     "agd_range": ITEMS + "select abs_id::bigint as ordinal, item_id::varchar as meta from seqs, (select count(*) as n from seqs) where abs_id between n // 4 and 3 * n // 4",
     "bases_round_trip": SEQ + "select abs_id, regexp_replace(seq, '[^ACGT]', 'N', 'g') as bases from seqs",
+    "clusters_parts_round_trip": LISTS + "select (row_number() over (order by pos) - 1)::int as pos, array_to_string(members, ',') as members from c",
     "clusters_round_trip": LISTS + "select (row_number() over (order by pos) - 1)::int as pos, array_to_string(members, ',') as members from c",
     "matches_round_trip": """select lower(l_returnflag) as genome1, lower(l_linestatus) as genome2, (l_orderkey + 1)::int as seq1, (l_linenumber + 1)::int as seq2, q as score, q / 8.0::double as distance,
   1 as a1, q + 1 as b1, 3 as a2, q + 1 as b2, 0.5::double as variance, 3 as cluster_size from (select *, trunc(l_quantity)::int as q from lineitem) where q + 0.25 >= 5""",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked
 from .agd import EVERY, AgdSource
+from .cluster_document import read_clusters  # noqa: F401
 from .match_sink import MatchSink
 from .formats import BASES, BZIP2, GZIP, HEADER, RAW, TEXT, decode_chunk, encode_chunk, pack_bases, unpack_bases  # noqa: F401
 
@@ -198,25 +199,20 @@ def _joined(spark: SparkSession, parts: str, path: str) -> None:
     fs.delete(Path(parts), True)
 
 
-def write_clusters(clusters: DataFrame, seqs: DataFrame, path: str, datasets: list[str]) -> None:
-    """One gzipped document {datasets, clusters} at path + ".gz". Parts are written and compressed in parallel, in order of pos; gzip files may follow each other."""
+def write_clusters(clusters: DataFrame, seqs: DataFrame, path: str, datasets: list[str], joined: bool = True) -> None:
+    """One gzipped document {datasets, clusters} at path + ".gz". Parts are written and compressed in parallel, in order of pos; gzip files may follow each other.
+
+    Without `joined` the folder `path` of the parts is the document, which no one process writes and which `read_clusters` reads in parallel.
+    """
     spark = clusters.sparkSession
     body = clusters_document(clusters, seqs).select(F.col("pos").cast("long").alias("pos"), "value")
     first = body.agg(F.min("pos").alias("first"))
     body = body.join(F.broadcast(first), F.lit(True)).select("pos", F.concat(F.when(F.col("pos") > F.col("first"), ",").otherwise(""), "value").alias("value"))
     ends = spark.createDataFrame([(-(1 << 62), '{"clusters": ['), (1 << 62, f'], "datasets": {json.dumps(datasets)}}}')], "pos long, value string")
-    parts = f"{path}.parts"
+    parts = f"{path}.parts" if joined else path
     ends.unionByName(body).repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").option("compression", "gzip").text(parts)
-    _joined(spark, parts, f"{path}.gz")
-
-
-def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """(pos, members) and the datasets of a document {datasets, clusters}, however it is laid out, gzipped or not."""
-    kind = "datasets array<string>, clusters array<array<struct<Genome:string,Index:int,AbsoluteIndex:long>>>"
-    doc = spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    out = doc.select(F.posexplode("clusters").alias("pos", "c")).select("pos", F.transform("c", lambda m: m["AbsoluteIndex"]).alias("members"))
-    head = doc.select("datasets").first()
-    return out, list(head["datasets"] or []) if head else []
+    if joined:
+        _joined(spark, parts, f"{path}.gz")
 
 
 def match_row(df: DataFrame) -> Column:
