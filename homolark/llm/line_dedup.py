@@ -354,3 +354,33 @@ def line_dedup(docs: DataFrame, *carry: str) -> DataFrame:
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda r: r["line"].cast("string")), ",").alias("removed_lines"), F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+with t as (select doc_id, string_split(text, chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as raw, unnest(range(len(ls))) as line from t),
+w as (
+  select doc_id, line, raw, list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from l),
+d as (
+  select row_number() over () as id, ws, len(ws) as n, f from (select ws, min({'doc': doc_id, 'line': line}) as f from w where len(ws) > 0 group by ws)),
+k as (select id, ws, n, n - less as t from d, (values (0), (1)) as v(less) where n - less >= 5),
+halves as (
+  select id, t, 0 as side, ws[1:t // 2] as part from k
+  union all
+  select id, t, 1, ws[n - (t - t // 2) + 1:] from k),
+pairs as (select distinct a.id as i, b.id as j from halves a join halves b using (t, side, part) where a.id <> b.id),
+near as (
+  select i, j from (
+    select i, j, a.ws as x, b.ws as y, list_filter(range(1, b.n + 1), lambda p: a.ws[p] <> b.ws[p]) as diff
+    from pairs join d a on a.id = i join d b on b.id = j where a.n in (b.n, b.n + 1))
+  where (len(x) = len(y) and len(diff) = 1) or (len(x) > len(y) and (len(diff) = 0 or x[diff[1] + 1:] = y[diff[1]:]))),
+sides as (select i, j from near union select j, i from near),
+origin as (select d.id, d.ws, least(d.f, coalesce(min(o.f), d.f)) as f from d left join sides on sides.i = d.id left join d o on o.id = sides.j group by d.id, d.ws, d.f),
+judged as (select w.*, coalesce(origin.f < {'doc': w.doc_id, 'line': w.line}, false) as gone from w left join origin on origin.ws = w.ws),
+out as (
+  select doc_id, count(*) filter (where gone) as n_removed, string_agg(line::varchar, ',' order by line) filter (where gone) as removed_lines,
+    string_agg(raw, chr(10) order by line) filter (where not gone) as kept
+  from judged group by doc_id)
+select t.doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed_lines, '') as removed_lines, sha256(coalesce(kept, '')) as kept_sha256
+from t left join out using (doc_id)
+"""

@@ -22,6 +22,7 @@ QUERIES = {
 
 ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_spelling_variants": spelling_variants.ORACLE_SQL,
     "op12_vector_codes": vector_codes.ORACLE_SQL,
