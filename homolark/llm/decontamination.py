@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units that follow a number, and names (a capitalised word inside a sentence) become typed placeholders; the
+Numbers in digits or English words ("twenty-five" is one), units that follow a number, and names (a capitalised word inside a sentence) become typed placeholders; the
 rest is lower-cased words of letters and digits. Windows of `WINDOW` canonical words of documents and benchmark items
 are hash-joined. Hits of one alignment (document place less item place) must fill slots consistently: equal values
 of the item stand for equal values of the document, else the windows with slots do not count. A document is
@@ -32,17 +32,21 @@ SIFT_ROWS = 20_000
 
 NUMBER, UNIT, NAME, OPEN = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use characters, blanked in input
 BOTH, LITERAL, NAMED = 0, 1, 2  # views that a window belongs to
-# fixed values: unit words
+# fixed values: number words, unit words
+NUMBER_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|dozen"
 UNITS = "percent|kilometers|kilometres|kilometer|kilometre|meters|metres|meter|metre|centimeters|miles|mile|feet|foot|inches|inch|kilograms|kilogram|grams|gram|pounds|pound|liters|litres|liter|litre|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|cent|euros|euro|km|cm|mm|kg|mg|ml|lb|lbs|ft|hr|hrs|min|sec|usd|eur|m|g|l|s|h"
 
 
 def tokens(text: Column) -> Column:
     """Words in lower case; a slot's word is its type's mark followed by its value, and what may be a name has a mark too."""
     t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME + OPEN, "    ")
+    word, before, after = f"(?i:{NUMBER_WORDS})", r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    spelled = F.regexp_replace(t, rf"[ -](?=[a-zA-Z])(?={word}{after})(?<={before}{word}[ -])", "_")
+    t = F.regexp_replace(spelled, rf"{before}(?=[a-zA-Z])({word}(?:_{word})*){after}", f"{NUMBER}$1")
     joined = F.regexp_replace(t, r"(?<=[0-9])[.,:](?=[0-9])", "_")
-    number = F.regexp_replace(joined, r"(?<![\p{L}\p{N}_])([0-9][0-9_]*)", f"{NUMBER}$1")
-    unit = F.regexp_replace(number, rf"({NUMBER}[0-9_]+ ?)(?i)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    t = F.when(t.rlike("[0-9]"), unit).otherwise(t)
+    t = F.when(t.rlike("[0-9]"), F.regexp_replace(joined, rf"{before}([0-9][0-9_]*)", f"{NUMBER}$1")).otherwise(t)
+    unit = F.regexp_replace(t, rf"({NUMBER}(?:[0-9_]+ ?|[a-zA-Z_]+ ))(?i)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    t = F.when(t.contains(NUMBER), unit).otherwise(t)
     t = F.regexp_replace(t, r"(\p{Lu})(?<=[\p{L}\p{N},;] \p{Lu})(?=\p{Ll})", f"{NAME}$1")
     t = F.regexp_replace(t, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}_{NUMBER}-{NAME}]\p{{Lu}})", f"{OPEN}$1")
     return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{NUMBER}-{OPEN}]+"), "")

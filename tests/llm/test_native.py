@@ -17,12 +17,24 @@ ITEMS = [
 ]
 
 
+def spelled(t):
+    """Runs of number words, one blank or hyphen between, as one marked word; what an underscore joins already goes on no further."""
+    out, end, last, known = [], 0, None, set(D.NUMBER_WORDS.split("|"))
+    for m in regex.finditer(r"[\p{L}\p{N}_]+", t):
+        gap, parts = t[end : m.start()], m[0].lower().split("_")
+        number = all(p in known for p in parts)
+        out.append("_" if number and last and len(parts) == 1 and gap in (" ", "-") else gap + ("\ue000" if number else ""))
+        out.append(m[0])
+        end, last = m.end(), number and len(parts) == 1
+    return "".join(out) + t[end:]
+
+
 def slow_tokens(text):
-    t = (text or "").translate({0xE000: " ", 0xE001: " ", 0xE002: " "})
+    t = spelled((text or "").translate({0xE000: " ", 0xE001: " ", 0xE002: " "}))
     if regex.search("[0-9]", t):
         t = regex.sub(r"(?<=[0-9])[.,:](?=[0-9])", "_", t)
-        t = regex.sub(r"(?<![\p{L}\p{N}_])([0-9][0-9_]*)", "\\1", t)
-        t = regex.sub(rf"([0-9_]+ ?)((?i:{D.UNITS}))(?![\p{{L}}\p{{N}}])", "\\1 \\2", t)
+        t = regex.sub(r"(?<![\p{L}\p{N}_])([0-9][0-9_]*)", "\ue000\\1", t)
+    t = regex.sub(rf"(\ue000(?:[0-9_]+ ?|[a-zA-Z_]+ ))((?i:{D.UNITS}))(?![\p{{L}}\p{{N}}])", "\\1 \ue001\\2", t)
     t = regex.sub(r"(?<=[\p{L}\p{N},;] )(\p{Lu})(?=\p{Ll})", "\\1", t)
     w = [x for x in regex.split("[^\\p{L}\\p{N}_-]+", t.lower()) if x]
     return [(x[0], x) if x[0] in "" else (x, None) for x in w]
@@ -73,6 +85,17 @@ def test_decontamination(spark, texts):  # noqa: F811
     assert D.contaminated(docs, items.where("item_id = 99")).count() == D.contaminated(docs.where("doc_id = 9999"), items).count() == 0
 
 
+def test_number_words(spark):
+    item = "Maria has five apples and Maria gives two of them to her friend how many are left after twenty minutes"
+    again = item.replace("five", "forty-seven").replace("two", "Twelve").replace("twenty", "90")
+    texts = [(1, item), (2, again), (3, again.replace("forty-seven", "forty seven hundred")), (4, item.replace("five", "some").replace("two", "a few").replace("twenty", "some")), (5, "No one has seen it for one day or two, said nobody.")]
+    got = {r.doc_id: r.refilled for r in D.contaminated(docs_of(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: False, 2: True, 3: True}
+    words = docs_of(spark, [(k, t) for k, t in enumerate(["One hundred-and two hundred  three", "oneself one_two TWENTY-FIVE km, ten", "five-six_seven eight.nine one5 5one one -two", "four\nfive feet 3 six km"])])
+    for r in words.select("text", D.tokens(F.col("text")).alias("w")).collect():
+        assert [w.lstrip("\ue003\ue002") for w in r.w] == [v or c for c, v in slow_tokens(r.text)], r.text
+
+
 @pytest.mark.parametrize("sift", [D.SIFT_ROWS, 0])
 def test_names_that_open_and_short_items(spark, sift, monkeypatch):
     monkeypatch.setattr(D, "SIFT_ROWS", sift)
