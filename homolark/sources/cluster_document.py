@@ -75,9 +75,10 @@ def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
     if at is None:
         return spark.createDataFrame([], "pos int, members array<long>"), names
     first, after = heads[at].e, (heads[at + 1].e if at + 1 < len(heads) else None)
-    rows = rows.where((F.col("e") >= first) & (F.lit(True) if after is None else F.col("e") < after))
+    inside = (F.col("e") >= first) & (F.lit(True) if after is None else F.col("e") < after)
     body = F.when(F.col("e") == first, F.regexp_replace("value", HEAD, "")).otherwise(F.regexp_replace("value", r"^\s*,", ""))
-    rows = rows.select((F.col("e") - first).cast("int").alias("pos"), body.alias("value")).where(~F.col("value").rlike(r"^\s*[\]}]"))  # the end of clusters, or of the document
+    body = F.when(inside & ~body.rlike(r"^\s*[\]}]"), body)  # null at the end of clusters and outside; conditions stand in the values, as a filter may be moved behind what fails
     wrong = F.raise_error(F.concat(F.lit("not a cluster: "), F.substring("value", 1, 80))).cast(MEMBERS)
-    members = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", MEMBERS, {"mode": "FAILFAST"})).otherwise(wrong)
+    members = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", MEMBERS, {"mode": "FAILFAST"})).when(F.col("value").isNotNull(), wrong)
+    rows = rows.select((F.col("e") - first).cast("int").alias("pos"), body.alias("value")).where(F.col("value").isNotNull())
     return rows.select("pos", F.transform(members, lambda m: m["AbsoluteIndex"]).alias("members")), names
