@@ -111,6 +111,15 @@ def test_length_guard(spark):
         C.checked(df).collect()
 
 
+def test_length_guard_keeps_every_row(spark, tmp_path):
+    texts = [(0, "a" * C.LONGEST, "x"), (1, "a-" * (C.LONGEST + 1), "x"), (2, None, None), (3, "", "y")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(0, 0), (1, C.LONGEST), (2, C.LONGEST + 1), (3, 0)}
+    assert {(r.abs_id, r.len) for r in entry.queries()["length_guard"](spark, str(tmp_path)).collect()} == want
+    got = C.guarded(spark.createDataFrame([(k, "A" * n) for k, n in want], "abs_id int, seq string"))
+    assert {(r.abs_id, r.fits) for r in got.collect()} == {(0, True), (1, True), (2, False), (3, True)}
+
+
 def test_agd_written_and_read(spark, tmp_path):
     seqs = spark.createDataFrame([(i, f"m{i}" if i % 3 else None, "ACDW" * (i % 4)) for i in range(25)], "ordinal long, meta string, seq string")
     manifest = G.write_agd(seqs, str(tmp_path / "agd"), "set", rows=7)
