@@ -1,6 +1,7 @@
 """Match files as a sink: path/genome1/genome2 for each pair of genomes, written by the tasks and put in place by one rename.
 
-Rows (genome1, genome2, value) must come with each pair of genomes in one partition and in order; `genomes.write_matches` deals them so. A task writes a file beside its place in a folder of the job's
+Rows (genome1, genome2, value) must come with each pair of genomes in one partition and in order; `genomes.write_matches` deals them so. A pair whose rows are marked `split` may come in
+several partitions that follow each other: it is a folder path/genome1/genome2, to which each adds a part, a file of the same format. A task writes a file beside its place in a folder of the job's
 own, closes it and moves it there, so a task that fails leaves no part of a file, and one that runs twice leaves the same file once. Only when all tasks are done does the folder replace
 earlier output; a job that fails leaves earlier output as it was.
 """
@@ -11,6 +12,7 @@ import uuid
 from dataclasses import dataclass, field
 
 import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 HEAD, END = "# AllAll of {} vs {};\nRefinedMatches(\n[", " ]):"  # fixed values of the format
@@ -32,21 +34,22 @@ class MatchWriter(DataSourceWriter):
 
     def write(self, iterator) -> Written:
         fs, root = located(self.staged)
-        done, now, out, part = Written(), None, None, ""
+        done, now, out, part, place = Written(), None, None, "", ""
 
         def close() -> None:
             if out is not None:
                 out.write(f"{END}\n".encode())
                 out.close()
-                fs.move(part, f"{root}/{now[0]}/{now[1]}")
-                done.files.append("/".join(now))
+                fs.move(part, f"{root}/{place}")
+                done.files.append(place)
 
         for row in iterator:
             pair = (row["genome1"], row["genome2"])
             if pair != now:
                 close()
                 now, part = pair, f"{root}/{pair[0]}/.{pair[1]}-{uuid.uuid4().hex}"
-                fs.create_dir(f"{root}/{pair[0]}", recursive=True)
+                place = "/".join(pair) + (f"/part-{TaskContext.get().partitionId():06d}" if "split" in row and row["split"] else "")
+                fs.create_dir(f"{root}/{place}".rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(part)
                 out.write((HEAD.format(*pair) + row["value"]).encode())
             else:
@@ -78,7 +81,7 @@ class MatchSink(DataSource):
         return "match_files"
 
     def schema(self) -> str:
-        return "genome1 string, genome2 string, value string"
+        return "genome1 string, genome2 string, value string, split boolean"
 
     def writer(self, schema, overwrite: bool) -> MatchWriter:
         return MatchWriter(self.options["path"])

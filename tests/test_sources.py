@@ -1,6 +1,7 @@
 import gzip
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,6 +291,29 @@ def test_match_files_are_whole_or_not_there(spark, tmp_path):
     assert files() == [] and out.is_dir()
 
 
+def test_a_large_pair_is_written_in_parts(spark, tmp_path, monkeypatch):
+    """No partition that is sorted holds many more rows than a part; small pairs stay one file each, and parts by name are in the order of indexes."""
+    monkeypatch.setattr(G, "PART_ROWS", 100)
+    out, sorted_rows = tmp_path / "m", []
+    rows = [("a", "b", i // 3, i % 3 if i % 50 else 7, 5.0, 1.0, 0, 1, 0, 1, 0.5, i) for i in range(1500)] + [(f"s{k}", g, i, i, 5.0, 1.0, 0, 1, 0, 1, 0.5, 2) for k in range(9) for g in ("b", "c") for i in range(30)]
+    df = spark.createDataFrame(rows, MATCHES).repartition(5)
+    G.write_matches(df, str(out))
+    assert sorted(str(p.relative_to(out)) for p in out.glob("s*/*")) == [f"s{k}/{g}" for k in range(9) for g in "bc"] and all(p.is_file() for p in out.glob("s*/*"))
+    parts = sorted((out / "a/b").iterdir())
+    for p in parts:
+        text = p.read_text()
+        assert text.startswith("# AllAll of a vs b;\nRefinedMatches(\n[[") and text.endswith("] ]):\n")
+        sorted_rows.append([tuple(map(int, re.match(r"\[*(\d+), (\d+)", x).groups())) for x in text.splitlines()[2:]])
+    assert len(parts) > 8 and max(map(len, sorted_rows)) < 250
+    assert sum(sorted_rows, []) == sorted((r[2] + 1, r[3] + 1) for r in rows if r[0] == "a")
+    back = lambda: sorted((r.genome1, r.genome2, r.seq1, r.seq2, r.cluster_size) for r in G.read_matches(spark, str(out)).collect())
+    want = sorted((r[0], r[1], r[2] + 1, r[3] + 1, r[-1]) for r in rows)
+    assert back() == want
+    monkeypatch.setattr(G, "PART_ROWS", 1 << 18)  # replaced by one file
+    G.write_matches(df, str(out))
+    assert (out / "a/b").is_file() and back() == want
+
+
 def test_a_task_that_runs_twice_leaves_one_file(tmp_path):
     writer = MatchWriter(str(tmp_path / "m"))
     rows = [{"genome1": "a", "genome2": b, "value": f"[{k}]"} for b in "bc" for k in range(3)]
